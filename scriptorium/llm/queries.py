@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash, syncmers, token_counts, url_filter, warc
+from . import bpe, decontaminate, simhash, substring_dedup, syncmers, token_counts, url_filter, warc
 from .common import shared_folder, table
 
 
@@ -43,6 +43,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -55,4 +60,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op6_warc, op7_decontaminate, op9_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op6_warc, op7_decontaminate, op8_substring_dedup, op9_url_filter, op10_byte_bpe)}
