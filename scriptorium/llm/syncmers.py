@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import checkpointed
+
 K = 3
 PIECE = 16
 SKETCH = 64
@@ -128,22 +130,22 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     fingerprint) is taken from the same exchange and moves to the document before.
     """
     whole = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = with_fingerprint(whole, "text", "fingerprint")
-    links = following(docs.select(F.col("doc_id").cast("long"), "text"))
-    placed = prints.join(links.hint("merge"), "doc_id", "left")
+    # the same non-null rows on both sides, or else the two would not share their exchange
+    prints = with_fingerprint(whole.where("doc_id is not null"), "text", "fingerprint")
+    placed = prints.join(checkpointed(following(docs.select(F.col("doc_id").cast("long"), "text"))).hint("merge"), "doc_id")
     heads = (
-        placed.where("previous_id is not null")
-        .select(F.col("previous_id").alias("to_id"), F.struct(F.expr("left(text, previous_chars div 4)").alias("head"), F.col("fingerprint").alias("print")).alias("x"))
+        placed.select(F.col("previous_id").alias("to_id"), F.struct(F.expr("left(text, previous_chars div 4)").alias("head"), F.col("fingerprint").alias("print")).alias("x"))
         .groupBy("to_id")
         .agg(F.min("x").alias("x"))
     )
-    joined = placed.join(heads, placed.doc_id == heads.to_id, "left")
-    edited = joined.select(
+    joined = placed.join(heads, placed.doc_id == heads.to_id, "left").select("doc_id", "text", "fingerprint", "x.head", "x.print")
+    unnamed = with_fingerprint(whole.where("doc_id is null"), "text", "fingerprint").select("*", F.lit("").alias("head"), F.lit("").alias("print"))
+    edited = joined.union(unnamed).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
-        F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(coalesce(x.head, ''), cast(length(text) div 4 as int)))").alias("edited"),
+        F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(head, cast(length(text) div 4 as int)))").alias("edited"),
         "fingerprint",
-        F.coalesce("x.print", F.lit("")).alias("next_fingerprint"),
+        F.col("print").alias("next_fingerprint"),
     )
     return (
         with_fingerprint(edited, "edited", "edited_fingerprint")
