@@ -1,4 +1,90 @@
-STAGES = []
+"""A corpus pipeline of five of the operators, each stage over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's
+result to the session's shared folder and reads it again as the next one's documents. All but
+the last stage return the columns of ``docs`` as they came, extra ones too.
+
+Cases: documents with a null or empty text pass through every stage that has no reason to drop
+them, and may be dropped as copies of one another. Rows that share a doc_id are one document
+to the near-duplicate stage, which keeps one row of it. A row without a doc_id is never
+dropped as a copy. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from scriptorium.llm.common import shared_folder, table
+
+
+def _matched(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """Documents with columns of found, by doc_id: the columns of docs, then ``_`` and each of the others."""
+    own = found.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in columns)).where("_id is not null").dropDuplicates(["_id"])
+    return docs.join(own, docs["doc_id"] == own["_id"], "left")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects; it learns from what docs has of the labelled ones."""
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    rejected = _rejected(scored)
+    return docs.join(rejected, docs["doc_id"] == rejected["_id"], "left_anti")
+
+
+def _rejected(scored: DataFrame) -> DataFrame:
+    return scored.where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: the one with the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
+    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take passages out that an earlier document has; a text that loses none stays as it is."""
+    found = substring_dedup.remove_repeats(docs).where("n_removed > 0")
+    joined = _matched(docs, found, "kept")
+    text = F.coalesce("_kept", "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})
+    return joined.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents."""
+    found = decontaminate.judged(decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark")))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every kept document and a digest of the text that they decode to."""
+    import public_tokenizers
+
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontaminated", decontaminated),
+    ("encoded", encoded),
+]
+
+#: No SQL: a fitted classifier, a similarity graph and a tokenizer. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_folder(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, simhash, substring_dedup, syncmers, token_counts, url_filter, warc
+from . import bpe, decontaminate, language_model, quality, simhash, substring_dedup, syncmers, token_counts, url_filter, warc
 from .common import shared_folder, table
 
 
@@ -34,6 +34,12 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_path = shared_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), with_path)
@@ -65,4 +71,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op4_language_model, op6_warc, op7_decontaminate, op8_substring_dedup, op9_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op4_language_model, op5_quality, op6_warc, op7_decontaminate, op8_substring_dedup, op9_url_filter, op10_byte_bpe)}
