@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ from .common import column
 
 #: Words kept in a task's memo before it starts again.
 MEMO = 400_000
+#: Above every rank: neighbours that don't merge.
+NONE = 1 << 40
 #: From so many bytes on, a word is merged with a heap.
 LONG = 48
 #: White space as the tiktoken library's pattern engine takes it (a fixed set of Unicode).
@@ -46,24 +47,22 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
-def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     parts = [word[i : i + 1] for i in range(len(word))]
     get = ranks.get
-    scores = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best = min((r for r in scores if r is not None), default=None)
-        if best is None:
-            return [ranks[p] for p in parts]
+    scores = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    while scores and (best := min(scores)) != NONE:
         i = scores.index(best)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
         del scores[i]
         if i < len(scores):
-            scores[i] = get(parts[i] + parts[i + 1])
+            scores[i] = get(parts[i] + parts[i + 1], NONE)
         if i:
-            scores[i - 1] = get(parts[i - 1] + parts[i])
+            scores[i - 1] = get(parts[i - 1] + parts[i], NONE)
+    return parts
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The leftmost pair of least rank first, as above, in n log n steps."""
     n, get = len(word), ranks.get
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -81,31 +80,36 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
                 heapq.heappush(heap, (r, i, to, end[to]))
         if (p := before[i]) >= 0 and (r := get(word[p:to])) is not None:
             heapq.heappush(heap, (r, p, i, to))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+    return [word[i : end[i]] for i in range(n) if alive[i]]
 
 
 class Encoder:
+    """Texts to ids packed as little-endian unsigned 32-bit integers."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO) -> None:
         self.ranks, self.find, self.most = ranks, compiled(pattern).findall, memo
-        self.memo: dict[str, list[int]] = {}
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        self.memo: dict[str, bytes] = {}
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         raw = word.encode()
-        whole = self.ranks.get(raw)
-        return [whole] if whole is not None else (merge_short if len(raw) < LONG else merge_long)(raw, self.ranks)
+        whole = self.packed.get(raw)
+        if whole is not None:
+            return whole
+        return b"".join(map(self.packed.__getitem__, (merge_short if len(raw) < LONG else merge_long)(raw, self.ranks)))
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
         memo, words = self.memo, self.find(text)
         for w in set(words).difference(memo):
             memo[w] = self.word(w)
-        ids = np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.dtype("<u4"))
+        ids = b"".join(map(memo.__getitem__, words))
         if len(memo) > self.most:
             memo.clear()
         return ids
 
 
 class Decoder:
-    """Concatenates the binary pieces of ids by two gathers over one buffer of all pieces."""
+    """Packed ids to the concatenation of their binary pieces."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         pieces = [b""] * (max(ranks.values()) + 1)
@@ -113,8 +117,8 @@ class Decoder:
             pieces[rank] = piece
         self.pieces = pieces
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _task(path: str, pattern: str, decode: bool):
@@ -127,8 +131,8 @@ def _task(path: str, pattern: str, decode: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # few documents at a time bound the output
                 part = batch.slice(at, 512)
-                ids = [encoder.encode(t) if t else np.empty(0, "<u4") for t in column(part, "text").to_pylist()]
-                columns = [column(part, "doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                ids = [encoder.encode(t) if t else b"" for t in column(part, "text").to_pylist()]
+                columns = [column(part, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([decoder.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
