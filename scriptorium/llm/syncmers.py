@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed
+from .common import checkpointed, with_long_id
 
 K = 3
 PIECE = 16
@@ -129,10 +129,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Texts move once, by doc_id; what the document before needs (the head of the text and the
     fingerprint) is taken from the same exchange and moves to the document before.
     """
-    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = docs.select(with_long_id(docs), F.coalesce("text", F.lit("")).alias("text"))
     # the same non-null rows on both sides, or else the two would not share their exchange
     prints = with_fingerprint(whole.where("doc_id is not null"), "text", "fingerprint")
-    placed = prints.join(checkpointed(following(docs.select(F.col("doc_id").cast("long"), "text"))).hint("merge"), "doc_id")
+    placed = prints.join(checkpointed(following(docs.select(with_long_id(docs), "text"))).hint("merge"), "doc_id")
     heads = (
         placed.select(F.col("previous_id").alias("to_id"), F.struct(F.expr("left(text, previous_chars div 4)").alias("head"), F.col("fingerprint").alias("print")).alias("x"))
         .groupBy("to_id")
