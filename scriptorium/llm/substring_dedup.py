@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, utf8
+from .common import column, utf8, with_long_id
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
@@ -251,8 +251,10 @@ def _kept(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (its other words, joined by a space), spans of removed words."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_hash", F.xxhash64("text"))
-    found = anchors(texts.where("doc_id is not null and text is not null"), window)
+    whole = docs.select(with_long_id(docs), "text").withColumn("text_hash", F.xxhash64("text"))
+    # the same non-null rows in both joins, or else the two would not share their exchange
+    texts = whole.where("doc_id is not null")
+    found = anchors(texts, window)
     repeated = found.groupBy("anchor").agg(F.count("anchor").alias("n")).where("n > 1")
     marks = (
         found.join(repeated, "anchor")
@@ -263,4 +265,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     cut = fragments(texts.join(marks, "doc_id").select("doc_id", "text", "text_hash", "repeated"), window)
     covered = covered_windows(cut, window).groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "first", "many")).alias("covered"))
     last = texts.join(covered, "doc_id", "left").select("doc_id", "text", "text_hash", "covered")
-    return last.mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,after:int>>")
+    unnamed = whole.where("doc_id is null").withColumn("covered", F.lit(None).cast("array<struct<text_hash:bigint,first:int,many:int>>"))
+    return last.union(unnamed).mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,after:int>>")
