@@ -505,7 +505,7 @@ def suggested_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An annotation task for each order, with a box and a text for each line."""
     k = F.col("l_linenumber")
-    own = F.concat_ws("-", k, "l_partkey", "l_suppkey")
+    own = F.concat_ws("-", k, "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     box = F.struct(
         own.alias("id"), F.lit("rectanglelabels").alias("type"),
         F.struct(F.when(k % 6 != 0, F.array(F.concat(F.lit("field"), (k % 4).cast("string")))).alias("rectanglelabels"), F.col("l_quantity").cast("double").alias("x"), F.lit(10.0).alias("y"), F.lit(20.0).alias("width"), F.lit(5.0).alias("height"), F.lit(None).cast("array<string>").alias("text")).alias("value"),

@@ -17,7 +17,7 @@ PDF_TAIL = 1024
 
 
 def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, length, content): the content of files beyond the limit isn't read."""
+    """(path, length, content): the content of files beyond the limit isn't read. Spark's file sources leave empty files out."""
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
     large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
