@@ -41,13 +41,16 @@ KEPT = 100_000
 #: Base of the quantised logarithm.
 BASE = 1.5
 #: Bits and probes for each (n-gram, level).
-BITS, PROBES = 9, 6
+BITS, PROBES = 10, 3
 #: Bytes of the filter in one broadcast.
 SHARD_BYTES = 128 << 20
 #: Hashes gathered in a task before they are counted and passed on.
 GATHER = 4_000_000
+#: Tokens of documents that are scored together.
+BLOCK = 150_000
 #: N-grams that a part of the hash space should hold.
 PART = 500_000
+PARTS_IN_A_TASK = 8
 END, START = (np.uint64(xxhash.xxh64_intdigest(t, 7)) for t in (b"\x00end", b"\x00start"))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 ONE = np.uint64(1)
@@ -67,17 +70,31 @@ def tokens(text: bytes | None) -> np.ndarray:
     return h & ~ONE
 
 
-def pairs(h: np.ndarray) -> np.ndarray:
-    """Hashes of each token with the one before it; odd numbers."""
+def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Documents by the block: the place of the first one, the hashes of all their tokens, and where each document's begin."""
+    at, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(tokens(text))
+        size += len(held[-1])
+        if size > BLOCK or k + 1 == len(texts):
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            yield at, np.concatenate(held), np.cumsum(sizes) - sizes
+            at, held, size = k + 1, [], 0
+
+
+def pairs(h: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of each token with the one before it in its document; odd numbers."""
     before = np.empty_like(h)
-    before[0] = START
     before[1:] = h[:-1]
+    before[starts] = START
     x = before * _A + h * _B
     x = (x ^ (x >> np.uint64(32))) * _C
     return (x ^ (x >> np.uint64(29))) | ONE
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes with the sums of their counts."""
+    keys, counts = grams.view(np.uint64), counts.astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
@@ -98,15 +115,12 @@ def level_values(most: int = 128) -> np.ndarray:
     return out
 
 
-def _positions(keys: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-    """Where each probe of a key looks, as a bit number within its part."""
+def _first(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's first probe at a level, and the step to the next ones; a probe is taken modulo the bits of the key's part."""
     x = (keys ^ np.uint64(level * 0x2545F4914F6CDD1D & (1 << 64) - 1)) * _A
     x = (x ^ (x >> np.uint64(31))) * _B
     x ^= x >> np.uint64(33)
-    step = (x * _C) | ONE
-    for _ in range(PROBES):
-        yield x % bits
-        x = x + step
+    return x, (x * _C) | ONE
 
 
 def build_part(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
@@ -115,8 +129,10 @@ def build_part(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     bits = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
     array = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _positions(keys[levels >= level], level, np.uint64(bits)):
-            array[at] = True
+        x, step = _first(keys[levels >= level], level)
+        for _ in range(PROBES):
+            array[x % np.uint64(bits)] = True
+            x = x + step
     return bits, np.packbits(array, bitorder="little").tobytes()
 
 
@@ -138,24 +154,20 @@ class Filter:
         """The highest level up to which every probe finds its bit; 0 also for parts held elsewhere."""
         out = np.zeros(len(keys), np.int8)
         part = (keys >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
-        bits = self.bits[part]
+        bits, offset = self.bits[part], self.offset[part]
         alive = np.flatnonzero(bits)
         level = 0
         while len(alive):
             level += 1
-            own, own_bits, base = keys[alive], bits[alive], self.offset[part[alive]]
+            own, own_bits, base = keys[alive], bits[alive], offset[alive]
+            x, step = _first(own, level)
             for k in range(PROBES):
-                if not k:
-                    x = (own ^ np.uint64(level * 0x2545F4914F6CDD1D & (1 << 64) - 1)) * _A
-                    x = (x ^ (x >> np.uint64(31))) * _B
-                    x ^= x >> np.uint64(33)
-                    step = (x * _C) | ONE
-                else:
+                if k:
                     x = x + step
                 at = base + x % own_bits
                 found = np.flatnonzero(self.array[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 if len(found) < len(own):
-                    alive, own, own_bits, base, x, step = alive[found], own[found], own_bits[found], base[found], x[found], step[found]
+                    alive, own, own_bits, base, x, step = (y[found] for y in (alive, own, own_bits, base, x, step))
             out[alive] = level
             if level == 127:
                 break
@@ -172,7 +184,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         def counted() -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000].astype(np.int64))], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000].astype(np.int32))], names=["gram", "n"])
 
         for batch in batches:
             for text in utf8(column(batch, "text")):
@@ -185,7 +197,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         if many:
             yield from counted()
 
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "gram bigint, n int")
 
 
 MODEL = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("bits", pa.int64()), ("array", pa.binary()), ("pairs", pa.int64()), ("single_pairs", pa.int64())])
@@ -196,8 +208,7 @@ def _summing(shift: int):
     """A task that sums the counts of whole parts of the hash space: a row for each token, and one for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(part: int, gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            keys, counts = summed(gram.view(np.uint64), n)
+        def finish(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             bits, array = build_part(keys, counts)
             two = (keys & ONE) == ONE
             yield pa.RecordBatch.from_pylist(
@@ -209,19 +220,16 @@ def _summing(shift: int):
                 none = pa.nulls(len(g))
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(times[at : at + 100_000]), *(none.cast(f.type) for f in list(MODEL)[2:])], schema=MODEL)
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        current = None
-        for batch in batches:
-            part, gram, n = (column(batch, c).to_numpy() for c in ("part", "gram", "n"))
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if current is not None and part[a] != current:
-                    yield from finish(current, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                current = int(part[a])
-                held.append((gram[a:b], n[a:b]))
-        if held:
-            yield from finish(current, *(np.concatenate(x) for x in zip(*held, strict=True)))
+        held = [(column(b, "gram").to_numpy(), column(b, "n").to_numpy()) for b in batches]
+        if not held:
+            return
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        # the first bits of a hash are its part, so that sorted hashes come part by part
+        part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield from finish(int(part[a]), keys[a:b], counts[a:b])
 
     return run
 
@@ -233,7 +241,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
     shift = 64 - power
     part = F.shiftrightunsigned("gram", shift).cast("int") if power else F.lit(0)
     grams = count_ngrams(docs).withColumn("part", part)
-    return checkpointed(grams.repartition("part").sortWithinPartitions("part").mapInArrow(_summing(shift), MODEL_DDL)), shift
+    # a task sums a few parts, of about PART n-grams each, whatever the size of the corpus
+    return checkpointed(grams.repartition(max(1, (1 << power) // PARTS_IN_A_TASK), "part").mapInArrow(_summing(shift), MODEL_DDL)), shift
 
 
 def _shards(model: DataFrame, shift: int, shard_bytes: int) -> Iterator[Filter]:
@@ -252,22 +261,23 @@ def _probe(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Filter = shared.value
         for batch in batches:
-            out = []
+            out: list[bytes] = []
             before = column(batch, "levels").to_pylist()
-            for text, old in zip(utf8(column(batch, "text")), before, strict=True):
-                h = tokens(text)
-                found = own.levels(np.concatenate((h, pairs(h))))
-                out.append((found if not k else np.maximum(found, np.frombuffer(old, np.int8))).tobytes())
+            for at, h, starts in blocks(utf8(column(batch, "text"))):
+                found = np.stack((own.levels(h), own.levels(pairs(h, starts))))
+                if k:
+                    found = np.maximum(found, np.concatenate([np.frombuffer(x, np.int8).reshape(2, -1) for x in before[at : at + len(starts)]], axis=1))
+                out += [x.tobytes() for x in np.split(found, starts[1:], axis=1)]
             arrays = [pa.array(out, pa.binary()) if f.name == "levels" else column(batch, f.name) for f in batch.schema]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     return run
 
 
-ROWS = pa.schema(
-    [("row", pa.int64()), ("gram", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-)
-ROWS_DDL = "row bigint, gram bigint, times bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+#: A document's own row has its doc_id, size (twice its tokens, and 1 if it is held out), base and score of what is known
+#: exactly, and as times the count of those tokens; a row for another token has its gram and times only.
+ROWS = pa.schema([("row", pa.int64()), ("gram", pa.int64()), ("times", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+ROWS_DDL = "row bigint, gram bigint, times int, doc_id bigint, size bigint, base double, score double"
 
 
 def _scoring(shared, total: int, kinds: int, seen: float):
@@ -277,38 +287,41 @@ def _scoring(shared, total: int, kinds: int, seen: float):
         own, kept, kept_counts = shared.value  # the filter, or None where the levels are filled in
         values = level_values()
         room = total + ALPHA * (kinds + 1)
-        start = own.levels(np.array([START & ~ONE])) if own else None
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(3)]
-            docs = []
-            names = ("row", "doc_id", "held_out", "text", "levels")
-            for row, doc_id, out, text, filled in zip(*(utf8(column(batch, c)) if c == "text" else column(batch, c).to_pylist() for c in names), strict=True):
-                h = tokens(text)
-                levels = own.levels(np.concatenate((h, pairs(h)))) if own else np.frombuffer(filled, np.int8)
-                one, two = values[levels[: len(h)]], values[levels[len(h) :]]
+            row, doc_id, out, filled = (column(batch, c) for c in ("row", "doc_id", "held_out", "levels"))
+            filled = None if own else filled.to_pylist()
+            for at, h, starts in blocks(utf8(column(batch, "text"))):
+                n, last = len(starts), np.append(starts[1:], len(h)) - 1
+                keys, places = np.unique(h, return_inverse=True)
+                if own:
+                    one, two = values[own.levels(keys)][places], values[own.levels(pairs(h, starts))]
+                else:
+                    one, two = values[np.concatenate([np.frombuffer(x, np.int8).reshape(2, -1) for x in filled[at : at + n]], axis=1)]
+                before = np.concatenate(([0.0], one[:-1]))
                 # the start has been a context once for each document, which is as often as the end has been a token
-                before = np.concatenate((one[-1:], one[:-1]))
-                p1 = (one + ALPHA) / room if room else np.ones(len(h))
+                before[starts] = one[last]
                 share = np.where(before > 0, seen, 0.0)
+                p1 = (one + ALPHA) / room if room else np.ones(len(h))
                 p = share * np.minimum(1.0, two / np.maximum(before, 1.0)) + (1 - share) * p1
-                keys, times = np.unique(h, return_counts=True)
-                at = np.minimum(np.searchsorted(kept, keys), max(len(kept) - 1, 0))
-                exact = kept[at] == keys if len(kept) else np.zeros(len(keys), bool)
-                base = float((times[exact] * np.log10((kept_counts[at[exact]] + ALPHA) / room)).sum()) if exact.any() else 0.0
-                docs.append((row, doc_id, out, len(h), int(times[exact].sum()), base, float(np.log10(p).sum())))
-                parts[0].append(np.full(int((~exact).sum()), row))
-                parts[1].append(keys[~exact].view(np.int64))
-                parts[2].append(times[~exact])
-            rows, ids, outs, sizes, known, bases, scores = (list(x) for x in zip(*docs, strict=True)) if docs else ([],) * 7
-            empty = [None] * len(rows)
-            # the document's own row has a hash of its own to be dealt out by, which no token has
-            odd = [hash((r, 1)) | 1 for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((rows, odd, empty, ids, outs, sizes, known, bases, scores), ROWS, strict=True)], schema=ROWS)
-            if docs:
-                rare = [np.concatenate(p) for p in parts]
-                for a in range(0, len(rare[0]), 100_000):
-                    n = len(rare[0][a : a + 100_000])
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 100_000].astype(np.int64)) for x in rare), *(pa.nulls(n).cast(f.type) for f in list(ROWS)[3:])], schema=ROWS)
+                scores = np.add.reduceat(np.log10(p), starts)
+                found = np.minimum(np.searchsorted(kept, keys), max(len(kept) - 1, 0))
+                exact = kept[found] == keys if len(kept) else np.zeros(len(keys), bool)
+                terms = np.where(exact, np.log10((kept_counts[found] + ALPHA) / room), 0.0) if len(kept) else np.zeros(len(keys))
+                known = exact[places]
+                sizes = last + 1 - starts
+                rows = row.slice(at, n)
+                # the document's own row has a hash of its own to be dealt out by, which no token has
+                odd = pa.array([hash((r, 1)) | 1 for r in rows.to_pylist()], pa.int64())
+                held = out.slice(at, n).to_numpy(zero_copy_only=False).astype(np.int64)
+                exactly = np.add.reduceat(known.astype(np.int32), starts)
+                columns = (rows, odd, pa.array(exactly, pa.int32()), doc_id.slice(at, n), pa.array(2 * sizes + held), pa.array(np.add.reduceat(terms[places], starts)), pa.array(scores))
+                yield pa.RecordBatch.from_arrays(list(columns), schema=ROWS)
+                rare = np.flatnonzero(~known)
+                if len(rare):
+                    # a number for each (document, token), to count it once
+                    pair, times = np.unique(np.repeat(np.arange(n), sizes)[rare] * len(keys) + places[rare], return_counts=True)
+                    gram, number = keys[pair % len(keys)].view(np.int64), rows.to_numpy()[pair // len(keys)]
+                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(gram), pa.array(times, pa.int32()), *(pa.nulls(len(pair), f.type) for f in list(ROWS)[3:])], schema=ROWS)
 
     return run
 
@@ -339,18 +352,14 @@ def score(docs: DataFrame, parts: int = 10, kept: int = KEPT, shard_bytes: int =
     scored = rows.mapInArrow(_scoring(sc.broadcast((whole, *table)), total, kinds, seen), ROWS_DDL)
     counts = singles.where(F.col("n") * kept < total).withColumnRenamed("n", "count")
     room = total + ALPHA * (kinds + 1)
-    term = F.when(F.col("times").isNotNull(), F.col("times") * F.log10((F.coalesce("count", F.lit(0)) + ALPHA) / room)) if room else F.lit(0.0)
-    return (
-        scored.join(counts, "gram", "left")
-        .groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            (F.max("known") + F.coalesce(F.sum(F.when(F.col("count") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            (F.max("base") + F.coalesce(F.sum(term), F.lit(0.0))).alias("base_score"),
-            F.max("score").alias("score"),
-        )
-        .drop("row")
+    own = F.col("size").isNotNull()
+    term = F.when(own, F.col("base")).otherwise(F.col("times") * F.log10((F.coalesce("count", F.lit(0)) + ALPHA) / room) if room else F.lit(0.0))
+    found = scored.join(counts.hint("shuffle_hash"), "gram", "left").groupBy("row").agg(  # rare tokens: no hot keys on either side
+        F.max("doc_id").alias("doc_id"),
+        F.max("size").alias("size"),
+        F.coalesce(F.sum(F.when(own | (F.col("count") > 0), F.col("times").cast("long"))), F.lit(0)).alias("n_known"),
+        F.sum(term).alias("base_score"),
+        F.max("score").alias("score"),
     )
+    size = F.col("size")
+    return found.select("doc_id", (size % 2 == 1).alias("held_out"), F.shiftright(size, 1).alias("n_tokens"), "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
