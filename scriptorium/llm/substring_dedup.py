@@ -4,7 +4,7 @@ The reference of each document is all documents with a smaller doc_id, so whole
 have no bound on their size and can't be broadcast. The shards are cut by content instead, and
 only text that may repeat travels to them:
 
-1. Every window (``window`` words) has an anchor: the least hash of its 5-word grams. Equal windows
+1. Every window (``window`` words) has an anchor: the least hash of its 4-word grams. Equal windows
    have equal anchors, wherever they stand. Anchors are counted by a partial aggregate.
 2. Anchors of two or more documents go back to their documents (a sort-merge join, whose hot keys
    Spark can split), where runs of windows with one such anchor are cut out as fragments. Within a
@@ -37,10 +37,10 @@ from .common import column, utf8, with_long_id
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
-GRAM = 5
+GRAM = 4
 #: Documents of one anchor from which its windows are dealt out one by one.
 HOT = 2000
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -113,9 +113,7 @@ def fragments(texts: DataFrame, window: int) -> DataFrame:
             least: dict[tuple[int, bytes], int] = {}
             lists = column(batch, "repeated")
             for k, (doc_id, text, text_hash) in enumerate(zip(column(batch, "doc_id").to_pylist(), utf8(column(batch, "text")), column(batch, "text_hash").to_pylist(), strict=True)):
-                if not lists[k].is_valid or not text or doc_id is None:
-                    continue
-                words = text.split()
+                words = text.split() if text else []
                 own = window_anchors(words, window)
                 if not len(own):
                     continue
@@ -138,14 +136,17 @@ def fragments(texts: DataFrame, window: int) -> DataFrame:
                         key = (route, piece)
                         if doc_id < least.get(key, doc_id + 1):
                             least[key] = doc_id
-            for at in range(0, len(cut), 50_000):
-                part = cut[at : at + 50_000]
-                # settled rows are dealt out by their own hash
-                settled = [least[(r, p)] < d for r, d, _, _, _, p in part]
-                routes = [hash((d, x)) if s else r for s, (r, d, _, x, _, _) in zip(settled, part, strict=True)]
-                columns = list(zip(*part, strict=True))
-                pieces = [None if s else p for s, p in zip(settled, columns[5], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((routes, *columns[1:5], pieces), FRAGMENTS, strict=True)], schema=FRAGMENTS)
+            out: list[tuple[int, int, int, int, int, bytes | None]] = []
+            for route, doc_id, text_hash, first, many, piece in cut:
+                if least[(route, piece)] == doc_id:
+                    out.append((route, doc_id, text_hash, first, many, piece))
+                elif out and out[-1][5] is None and out[-1][1:3] == (doc_id, text_hash) and out[-1][3] + out[-1][4] == first:
+                    out[-1] = (*out[-1][:4], out[-1][4] + many, None)
+                else:  # settled here: dealt out by a hash of its own
+                    out.append((hash((doc_id, first)), doc_id, text_hash, first, many, None))
+            for at in range(0, len(out), 50_000):
+                columns = zip(*out[at : at + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FRAGMENTS, strict=True)], schema=FRAGMENTS)
 
     return texts.mapInArrow(run, FRAGMENTS_DDL)
 
