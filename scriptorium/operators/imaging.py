@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 CARD_W, CARD_H = 1012, 638
 # The defaults of every step, and the augmentations in their order.
 DEFAULTS = {
-    "perspective_correction": True, "deskew": True, "clahe": True, "glare_removal": True, "resize": True,
+    "enable_perspective_warp": True, "enable_deskew": True, "enable_clahe": True, "enable_glare_removal": True, "enable_resize": True,
+    "deskew_min_angle": 0.5, "clahe_clip_limit": 2.0, "clahe_tile_grid": [8, 8], "clahe_lum_low": 100, "clahe_lum_high": 200,
+    "glare_threshold": 240, "glare_area_ratio": 0.02, "glare_inpaint_radius": 5,
 }
 AUGMENTATIONS = (
     "perspective_distort", "motion_blur", "jpeg_compress", "add_gaussian_noise", "brightness_contrast_shift",
@@ -58,6 +60,24 @@ def deskew_angles(segments: DataFrame, least: float = 0.5) -> DataFrame:
     return near.groupBy("image_id").agg(F.median("angle").alias("angle")).withColumn("turn", F.abs("angle") >= least)
 
 
+def clean_up_steps(images: DataFrame, config: dict | None = None) -> DataFrame:
+    """Add ``steps``: which steps a plug-in has to take for each image, in their order.
+
+    images: mean_luminance, bright_ratio and angle (null if no line was found), w and h. Steps that
+    change nothing are left out, so that only images in need of one reach the plug-in.
+    """
+    c = merged_config(config)
+    step = lambda name, needed: F.when(F.lit(c[f"enable_{name}"]) & needed, F.lit(name))
+    steps = F.array(
+        step("perspective_warp", F.lit(True)),
+        step("deskew", F.coalesce(F.abs("angle") >= c["deskew_min_angle"], F.lit(False))),
+        step("clahe", wants_contrast(F.col("mean_luminance"), c["clahe_lum_low"], c["clahe_lum_high"])),
+        step("glare_removal", wants_glare_removal(F.col("bright_ratio"), c["glare_area_ratio"])),
+        step("resize", (F.col("w") != CARD_W) | (F.col("h") != CARD_H)),
+    )
+    return images.withColumn("steps", F.array_compact(steps))
+
+
 def letterbox(width: Column, height: Column) -> Column:
     """Where an image of this size lies on the canonical card; halves round to even."""
     scale = F.least(CARD_W / width, CARD_H / height)

@@ -52,8 +52,16 @@ def test_sharpened():
 
 def test_config():
     assert imaging.merged_config(None) == imaging.DEFAULTS
-    assert imaging.merged_config({"preprocess": {"deskew": False, "other": 1}})["deskew"] is False
-    assert "other" not in imaging.merged_config({"other": 1, "clahe": False})
+    assert imaging.merged_config({"preprocess": {"enable_deskew": False, "other": 1}})["enable_deskew"] is False
+    assert "other" not in imaging.merged_config({"other": 1, "clahe_lum_low": 50})
+
+
+def test_steps(spark):
+    rows = [(50.0, 0.0, 1.0, 1012, 638), (150.0, 0.05, None, 10, 10), (150.0, 0.0, 0.4, 1012, 638)]
+    frame = spark.createDataFrame(rows, "mean_luminance double, bright_ratio double, angle double, w int, h int")
+    got = [r.steps for r in imaging.clean_up_steps(frame).collect()]
+    assert got == [["perspective_warp", "deskew", "clahe"], ["perspective_warp", "glare_removal", "resize"], ["perspective_warp"]]
+    assert [r.steps for r in imaging.clean_up_steps(frame, {"enable_perspective_warp": False, "deskew_min_angle": 0.3}).collect()][2] == ["deskew"]
 
 
 def test_augmentation(spark):
