@@ -4,6 +4,8 @@ The reference of each document is all documents with a smaller doc_id, so whole
 have no bound on their size and can't be broadcast. The shards are cut by content instead, and
 only text that may repeat travels to them:
 
+0. Whole texts that an earlier document has, word for word, are settled by a digest: all their windows are
+   covered, and the first of the equal texts stands for them as reference.
 1. Every window (``window`` words) has an anchor: the least hash of its 4-word grams. Equal windows
    have equal anchors, wherever they stand. Anchors are counted by a partial aggregate.
 2. Anchors of two or more documents go back to their documents (a sort-merge join, whose hot keys
@@ -13,7 +15,7 @@ only text that may repeat travels to them:
    shard's automaton, which tells for every window the least doc_id that has it, and extend it.
    Anchors of more than ``hot`` documents, whose fragments differ around a common passage, send
    single windows to shards by the window's own hash, so that no shard grows with such a passage.
-4. The covered windows return to their documents. Texts move once: both joins share an exchange.
+4. The covered windows return to their documents. Texts move once: all joins by doc_id share an exchange.
 
 Hashes only choose where windows meet; words are compared as they are.
 
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, utf8, with_long_id
+from .common import checkpointed, column, utf8, with_long_id
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
@@ -223,12 +225,14 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, hashes = column(batch, "covered"), column(batch, "text_hash").to_pylist()
+            lists, hashes, copies = column(batch, "covered"), column(batch, "text_hash").to_pylist(), column(batch, "copy").to_pylist()
             counts, removed, kept, spans = [], [], [], []
             for k, text in enumerate(utf8(column(batch, "text"))):
                 words = text.split() if text else []
                 runs: list[tuple[int, int]] = []
-                if lists[k].is_valid:
+                if copies[k]:
+                    runs = [(0, len(words))] if len(words) >= window else []
+                elif lists[k].is_valid:
                     for row in sorted((x["first"], x["many"]) for x in lists[k].as_py() if x["text_hash"] == hashes[k]):
                         a, b = row[0], row[0] + row[1] + window - 1
                         if runs and a <= runs[-1][1]:
@@ -250,12 +254,21 @@ def _kept(window: int):
     return run
 
 
+def copied_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, copied): hashes of the texts of a document that a smaller doc_id has as well; few rows, each small."""
+    same = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
+    digests = texts.where("text is not null").select("doc_id", "text_hash", same.alias("same"))
+    first = digests.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("same").alias("n")).where("n > 1")
+    return checkpointed(digests.join(first, "same").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_hash").alias("copied")))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (its other words, joined by a space), spans of removed words."""
     whole = docs.select(with_long_id(docs), "text").withColumn("text_hash", F.xxhash64("text"))
-    # the same non-null rows in both joins, or else the two would not share their exchange
+    # the same non-null rows in all joins, or else they would not share their exchange
     texts = whole.where("doc_id is not null")
-    found = anchors(texts, window)
+    texts = texts.join(copied_texts(texts), "doc_id", "left").select("doc_id", "text", "text_hash", F.coalesce(F.array_contains("copied", F.col("text_hash")), F.lit(False)).alias("copy"))
+    found = anchors(texts.where("not copy"), window)
     repeated = found.groupBy("anchor").agg(F.count("anchor").alias("n")).where("n > 1")
     marks = (
         found.join(repeated, "anchor")
@@ -263,8 +276,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
         .groupBy("doc_id")
         .agg(F.collect_list("mark").alias("repeated"))
     )
-    cut = fragments(texts.join(marks, "doc_id").select("doc_id", "text", "text_hash", "repeated"), window)
+    cut = fragments(texts.where("not copy").join(marks, "doc_id").select("doc_id", "text", "text_hash", "repeated"), window)
     covered = covered_windows(cut, window).groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "first", "many")).alias("covered"))
-    last = texts.join(covered, "doc_id", "left").select("doc_id", "text", "text_hash", "covered")
-    unnamed = whole.where("doc_id is null").withColumn("covered", F.lit(None).cast("array<struct<text_hash:bigint,first:int,many:int>>"))
+    last = texts.join(covered, "doc_id", "left").select("doc_id", "text", "text_hash", "copy", "covered")
+    nothing = F.lit(None).cast("array<struct<text_hash:bigint,first:int,many:int>>")
+    unnamed = whole.where("doc_id is null").select("*", F.lit(False).alias("copy"), nothing.alias("covered"))
     return last.union(unnamed).mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,after:int>>")
