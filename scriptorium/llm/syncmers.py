@@ -25,11 +25,10 @@ from .common import checkpointed, with_long_id
 
 K = 3
 PIECE = 16
-SKETCH = 64
-WIDTH = 16
+SKETCH = 128
+#: Hex digits of an anchor in a fingerprint.
+WIDTH = 8
 PIECES = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
-#: Turned over in the hex form, so that strings sort as the signed hashes do.
-SIGN = -(1 << 63)
 #: Ranges of doc_id in which a document looks for the next one by a window.
 RANGES = 512
 
@@ -61,8 +60,10 @@ def anchors(hashes: Column) -> Column:
 
 
 def _anchor_hashes(hashes: Column) -> Column:
-    found = F.transform(F.filter(_windows(hashes), _closed), lambda w: F.xxhash64(w["a"], w["b"], w["c"]))
-    return F.when(F.size(hashes).between(1, K - 1), F.array(F.xxhash64(hashes))).otherwise(found)
+    """The first 32 bits of the anchors' hashes: not negative, so that their hex forms sort as they do."""
+    short = lambda h: F.shiftrightunsigned(h, 32)
+    found = F.transform(F.filter(_windows(hashes), _closed), lambda w: short(F.xxhash64(w["a"], w["b"], w["c"])))
+    return F.when(F.size(hashes).between(1, K - 1), F.array(short(F.xxhash64(hashes)))).otherwise(found)
 
 
 def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
     return (
         frame.withColumn(step, piece_hashes(F.coalesce(F.col(text), F.lit(""))))
         .withColumn(least, F.slice(F.array_sort(F.array_distinct(_anchor_hashes(F.col(step)))), 1, SKETCH))
-        .withColumn(name, F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h.bitwiseXOR(F.lit(SIGN)))), WIDTH, "0")), ""))
+        .withColumn(name, F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), WIDTH, "0")), ""))
         .drop(step, least)
     )
 
