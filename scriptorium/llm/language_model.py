@@ -45,7 +45,7 @@ BITS, PROBES = 10, 3
 #: Bytes of the filter in one broadcast.
 SHARD_BYTES = 128 << 20
 #: Hashes gathered in a task before they are counted and passed on.
-GATHER = 4_000_000
+GATHER = 3_500_000
 #: Tokens of documents that are scored together.
 BLOCK = 150_000
 #: N-grams that a part of the hash space should hold.
@@ -240,9 +240,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
     power = max(0, (size // 6 * 2 // PART).bit_length())
     shift = 64 - power
     part = F.shiftrightunsigned("gram", shift).cast("int") if power else F.lit(0)
-    grams = count_ngrams(docs).withColumn("part", part)
     # a task sums a few parts, of about PART n-grams each, whatever the size of the corpus
-    return checkpointed(grams.repartition(max(1, (1 << power) // PARTS_IN_A_TASK), "part").mapInArrow(_summing(shift), MODEL_DDL)), shift
+    return checkpointed(count_ngrams(docs).repartition(max(1, (1 << power) // PARTS_IN_A_TASK), part).mapInArrow(_summing(shift), MODEL_DDL)), shift
 
 
 def _shards(model: DataFrame, shift: int, shard_bytes: int) -> Iterator[Filter]:
