@@ -6,8 +6,9 @@ the last stage return the columns of ``docs`` as they came, extra ones too.
 
 Cases: documents with a null or empty text pass through every stage that has no reason to drop
 them, and may be dropped as copies of one another. Rows that share a doc_id are one document
-to the near-duplicate stage, which keeps one row of it. A row without a doc_id is never
-dropped as a copy. Empty tables give empty results.
+to the near-duplicate stage, which keeps one row of it; other stages judge row by row. A row
+without a doc_id is never dropped as a copy. Empty tables give empty results. Stages that judge by
+row carry all columns along, so that texts aren't shuffled to drop or change some of them.
 """
 
 from __future__ import annotations
@@ -16,24 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, decontaminate, quality, simhash, substring_dedup
-from scriptorium.llm.common import shared_folder, table
-
-
-def _matched(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
-    """Documents with columns of found, by doc_id: the columns of docs, then ``_`` and each of the others."""
-    own = found.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in columns)).where("_id is not null").dropDuplicates(["_id"])
-    return docs.join(own, docs["doc_id"] == own["_id"], "left")
+from scriptorium.llm.common import restored, shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from what docs has of the labelled ones."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    rejected = _rejected(scored)
-    return docs.join(rejected, docs["doc_id"] == rejected["_id"], "left_anti")
-
-
-def _rejected(scored: DataFrame) -> DataFrame:
-    return scored.where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return restored(quality.score(docs, model, carry=True).where("predicted = 1"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,18 +37,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages out that an earlier document has; a text that loses none stays as it is."""
-    found = substring_dedup.remove_repeats(docs).where("n_removed > 0")
-    joined = _matched(docs, found, "kept")
-    text = F.coalesce("_kept", "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})
-    return joined.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
+    found = substring_dedup.remove_repeats(docs, carry=True)
+    changed = F.col("n_removed") > 0
+    if "n_chars" in docs.columns:
+        size = F.when(changed, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("rest.n_chars"))
+        found = found.withColumn("rest", F.col("rest").withField("n_chars", size))
+    return restored(found, docs, F.when(changed, F.col("kept")).otherwise(F.col("text")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
-    found = decontaminate.judged(decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+    found = decontaminate.judged(decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark"), carry=True))
+    return restored(found.where("not contaminated"), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

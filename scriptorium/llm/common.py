@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of whole texts: runs of anything but ASCII white space. ``bytes.split()`` takes the same runs.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +50,39 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def with_long_id(docs: DataFrame, name: str = "doc_id") -> Column:
     """The id as a bigint. A cast that changes nothing would leave an alias, and keep equal exchanges from being shared."""
     return F.col(name) if dict(docs.dtypes)[name] == "bigint" else F.col(name).cast("bigint").alias(name)
+
+
+def halved(key: str) -> Column:
+    """To group by along with a key that a join with hot rows on the other side comes next for.
+
+    The groups are the same, but they aren't dealt out by the key alone, so the join deals them
+    out again (they are few by then) and reads both sides straight from an exchange. Only then
+    can Spark split the hot partitions of the other side.
+    """
+    return F.pmod(F.hash(key), F.lit(2)).alias("_half")
+
+
+def with_rest(docs: DataFrame, carry: bool) -> DataFrame:
+    """(doc_id, text), and with carry the other columns as a struct ``rest``, whose names can't clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(with_long_id(docs), "text", *([F.struct(*others).alias("rest")] if carry else []))
+
+
+def restored(found: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs again from what was carried along; text: in place of the text as it came."""
+    own = F.col("text") if text is None else text
+    return found.select(*(own.alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
+def carried_schema(ddl: str, frame: DataFrame) -> T.StructType:
+    """An operator's own columns, then text and rest if the frame carries them."""
+    own = T.StructType.fromDDL(ddl)
+    return T.StructType([*own.fields, *(frame.schema[c] for c in ("text", "rest") if "rest" in frame.columns and c not in own.names)])
+
+
+def with_carried(arrays: list[pa.Array], names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of an operator's own columns, and what the input batch carries."""
+    if "rest" in batch.schema.names:
+        more = [c for c in ("text", "rest") if c not in names]
+        arrays, names = [*arrays, *(column(batch, c) for c in more)], [*names, *more]
+    return pa.RecordBatch.from_arrays(arrays, names=names)

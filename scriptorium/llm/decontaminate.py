@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, utf8
+from .common import carried_schema, checkpointed, column, utf8, with_carried, with_rest
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
@@ -118,7 +118,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
 DDL = "doc_id bigint, text string, n_words bigint, spans array<struct<first:int,after:int>>, items array<string>"
 
 
@@ -141,25 +140,27 @@ def scanner(shared, again: bool):
                 counts.append(len(doc))
                 all_spans.append([{"first": a, "after": b} for a, b in merged(spans + own)])
                 all_items.append(sorted(items))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "text"), pa.array(counts, pa.int64()), pa.array(all_spans, SPANS), pa.array(all_items, pa.list_(pa.string()))],
-                schema=SCHEMA,
-            )
+            columns = [column(batch, "doc_id"), column(batch, "text"), pa.array(counts, pa.int64()), pa.array(all_spans, SPANS), pa.array(all_items, pa.list_(pa.string()))]
+            yield with_carried(columns, ["doc_id", "text", "n_words", "spans", "items"], batch)
 
     return scan
 
 
-def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per document: doc_id, text, n_words, the hit spans of words, and the ids of items with occurring windows."""
+def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, text, n_words, the hit spans of words, and the ids of items with occurring windows.
+
+    carry: take the other columns along (see ``common.restored``), so that no join has to.
+    """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // shard_bytes) or 1
-    out = docs.select(F.col("doc_id").cast("long"), "text")
+    out = with_rest(docs, carry)
+    schema = carried_schema(DDL, out)
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
         rows = [(r[0], r[1].encode() if r[1] else None) for r in part.collect()]  # at most about shard_bytes
-        out = out.mapInArrow(scanner(spark.sparkContext.broadcast(Windows(rows, window)), k > 0), DDL)
+        out = out.mapInArrow(scanner(spark.sparkContext.broadcast(Windows(rows, window)), k > 0), schema)
         if k + 1 < shards:
             out = checkpointed(out)
     return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, utf8
+from .common import carried_schema, column, utf8, with_carried, with_rest
 
 PASSAGE = 512
 #: Features of a passage: 256 bytes, byte pairs by a hash, and bytes equal to the one 1, 2, ... before (at its place 0 the largest of those from 3 on).
@@ -159,15 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     return Model().fit(bags, np.array([r["y"] for r in rows], np.float32))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, score (the probability of label 1) and predicted, by the threshold."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, score (the probability of label 1) and predicted, by the threshold.
+
+    carry: take the text and the other columns along (see ``common.restored``), so that no join has to.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         for batch in batches:
             found = [own.score(t) for t in utf8(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+            yield with_carried([column(batch, "doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"], batch)
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double")
+    texts = with_rest(docs, carry)
+    scored = texts.mapInArrow(run, carried_schema("doc_id bigint, score double", texts))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

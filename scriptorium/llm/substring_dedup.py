@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, utf8, with_long_id
+from .common import carried_schema, checkpointed, column, halved, utf8, with_carried, with_rest
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
@@ -89,7 +89,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
             if many:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor bigint, doc_id bigint")
+    return docs.mapInArrow(run, "anchor bigint, doc_id bigint")  # all columns: a narrower exchange would be another one
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def covered_windows(cut: DataFrame, window: int) -> DataFrame:
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", SPANS)])
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,after:int>>"
 
 
 def _kept(window: int):
@@ -249,7 +249,7 @@ def _kept(window: int):
                 kept.append(b" ".join(left))
                 spans.append([{"first": a, "after": b} for a, b in runs])
             columns = [column(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, SPANS)]
-            yield pa.RecordBatch.from_arrays(columns, schema=RESULT)
+            yield with_carried(columns, ["doc_id", "n_words", "n_removed", "kept", "spans"], batch)
 
     return run
 
@@ -258,27 +258,31 @@ def copied_texts(texts: DataFrame) -> DataFrame:
     """(doc_id, copied): hashes of the texts of a document that a smaller doc_id has as well; few rows, each small."""
     same = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
     digests = texts.where("text is not null").select("doc_id", "text_hash", same.alias("same"))
-    first = digests.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("same").alias("n")).where("n > 1")
+    first = digests.groupBy("same", halved("same")).agg(F.min("doc_id").alias("first"), F.count("same").alias("n")).where("n > 1").select("same", "first")
     return checkpointed(digests.join(first, "same").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_hash").alias("copied")))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept (its other words, joined by a space), spans of removed words."""
-    whole = docs.select(with_long_id(docs), "text").withColumn("text_hash", F.xxhash64("text"))
-    # the same non-null rows in all joins, or else they would not share their exchange
+def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept (its other words, joined by a space), spans of removed words.
+
+    carry: take the text and the other columns along (see ``common.restored``), so that no join has to.
+    """
+    whole = with_rest(docs, carry).withColumn("text_hash", F.xxhash64("text"))
+    own = [c for c in whole.columns if c != "text_hash"]
+    # the same rows and columns in all joins, or else they would not share their exchange
     texts = whole.where("doc_id is not null")
-    texts = texts.join(copied_texts(texts), "doc_id", "left").select("doc_id", "text", "text_hash", F.coalesce(F.array_contains("copied", F.col("text_hash")), F.lit(False)).alias("copy"))
+    texts = texts.join(copied_texts(texts), "doc_id", "left").select(*own, "text_hash", F.coalesce(F.array_contains("copied", F.col("text_hash")), F.lit(False)).alias("copy"))
     found = anchors(texts.where("not copy"), window)
-    repeated = found.groupBy("anchor").agg(F.count("anchor").alias("n")).where("n > 1")
+    repeated = found.groupBy("anchor", halved("anchor")).agg(F.count("anchor").alias("n")).where("n > 1").select("anchor", "n")
     marks = (
         found.join(repeated, "anchor")
         .select("doc_id", F.when(F.col("n") > hot, F.col("anchor").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.col("anchor")).alias("mark"))
         .groupBy("doc_id")
         .agg(F.collect_list("mark").alias("repeated"))
     )
-    cut = fragments(texts.where("not copy").join(marks, "doc_id").select("doc_id", "text", "text_hash", "repeated"), window)
+    cut = fragments(texts.where("not copy").join(marks, "doc_id"), window)
     covered = covered_windows(cut, window).groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "first", "many")).alias("covered"))
-    last = texts.join(covered, "doc_id", "left").select("doc_id", "text", "text_hash", "copy", "covered")
+    last = texts.join(covered, "doc_id", "left").select(*own, "text_hash", "copy", "covered")
     nothing = F.lit(None).cast("array<struct<text_hash:bigint,first:int,many:int>>")
-    unnamed = whole.where("doc_id is null").select("*", F.lit(False).alias("copy"), nothing.alias("covered"))
-    return last.union(unnamed).mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,after:int>>")
+    unnamed = whole.where("doc_id is null").select(*own, "text_hash", F.lit(False).alias("copy"), nothing.alias("covered"))
+    return last.union(unnamed).mapInArrow(_kept(window), carried_schema(RESULT, whole))
