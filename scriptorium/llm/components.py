@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, halved
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = both.groupBy("u", halved("u")).agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     out = both.join(least, "u")
     out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a > b").distinct()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, utf8
+from .common import checkpointed, column, halved, utf8
 from .components import components
 
 SEED = 42
@@ -198,7 +198,7 @@ def links(distinct: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     rest = distinct.select("bits", "first_id", F.lit(0).cast("long").alias("route"), F.col("bits").alias("rest"))
     while True:
         rest = _bands(rest, level)
-        counts = rest.groupBy("route").agg(F.count("bits").alias("n"))
+        counts = rest.groupBy("route", halved("route")).agg(F.count("bits").alias("n"))
         large = checkpointed(counts.where(F.col("n") > group_limit).select("route")) if level + 1 < len(WIDTHS) else None
         if large is None or large.isEmpty():
             parts.append(rest)
@@ -242,7 +242,7 @@ def links(distinct: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per document: doc_id, bits (signed), component_id: the smallest doc_id reachable over links of 3 bits or fewer."""
     prints = checkpointed(fingerprints(docs, shingle))
-    distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
+    distinct = prints.groupBy("bits", halved("bits")).agg(F.min("doc_id").alias("first_id"))
     found = components(links(distinct.where("first_id is not null"), group_limit))
     least = distinct.join(found, distinct.first_id == found.id, "left").select("bits", F.coalesce("component_id", "first_id").alias("component_id"))
     return prints.join(least, "bits").select("doc_id", "bits", "component_id")

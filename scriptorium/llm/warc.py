@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, utf8
+from .common import column, halved
 
 #: A payload of more than 1 in so many pages is decided by a broadcast of at most so many rows.
 HOT = 1000
@@ -184,7 +184,7 @@ def with_responses(pages: DataFrame, revisit_from: int = 0, hot: int = HOT) -> D
     """Add ``response_id``: the largest page_id among equal payloads, null where there is none."""
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("same", F.unhex(F.sha2("payload", 256)))
-    groups = pages.where(F.octet_length("payload") >= revisit_from).groupBy("same").agg(F.count("same").alias("n"), F.max("page_id").alias("response_id")).where("n > 1")
+    groups = pages.where(F.octet_length("payload") >= revisit_from).groupBy("same", halved("same")).agg(F.count("same").alias("n"), F.max("page_id").alias("response_id")).where("n > 1")
     total = pages.count()
     often = groups.where(F.col("n") * hot > total).select("same", "response_id")  # at most ``hot`` rows
     seldom = groups.where(F.col("n") * hot <= total).select("same", "response_id")
