@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from scriptorium.llm import bpe, decontaminate, near_copies, quality, substring_dedup
 from scriptorium.llm.common import restored, shared_folder, table
 
 
@@ -27,8 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
+    """Keep one document of each group: the one with the smallest doc_id. Groups are of near copies by five-word shingles (Jaccard similarity >= 0.8)."""
+    found = near_copies.near_copies(docs)
     copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])

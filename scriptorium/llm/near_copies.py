@@ -1,0 +1,167 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, shingle sets confirm them.
+
+1. Each text gives the set of its shingles (5 words, 64-bit hashes), a digest of that set and
+   ``BANDS`` band keys of ``ROWS`` least hashes each (Arrow batches, no shuffle). Texts with the same set meet
+   by the digest.
+2. Distinct sets with a band key in common are candidates. At similarity s a pair is missed with probability
+   (1 - s^ROWS)^BANDS: 0.00003 at 0.8, less above.
+3. A group of candidates is confirmed by the sets themselves: two are linked if their similarity is at least
+   ``SIMILARITY``. Within a group only pairs that aren't connected yet are compared, so that a dense
+   group costs about one pass. A group of more than ``GROUP_LIMIT`` sets is dealt out as pairs of blocks, in
+   which each two of its sets meet.
+4. A group gives links that connect it, not its pairs; ``components`` joins them.
+
+Only texts with a candidate move, once for each of their groups. Nothing of all documents reaches the driver.
+
+Cases: words are as for SimHash (A-Z lowered, ASCII white space). A text of fewer than 5 words is one shingle. A null,
+empty or blank text has the empty set, which equals itself and nothing else. Rows that share a doc_id are rows of their own. A null
+doc_id links nothing, and its component_id is null where no doc_id has its set. Columns other than doc_id and text are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, column, halved, utf8
+from .components import components
+
+SEED = 42
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 4
+#: Distinct sets of a band key above which they are dealt out in blocks, and about the size of a block.
+GROUP_LIMIT = 400
+#: Shingles that are hashed for all bands at a time.
+BLOCK = 1 << 10
+FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles, ascending."""
+    words = text.lower().split() if text else []  # bytes: only A-Z are lowered
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - size + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    stops = ends[size - 1 :].tolist() or [len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def digest_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band; none for the empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for at in range(0, len(own), BLOCK):
+        np.minimum(least, (own[None, at : at + BLOCK] * FACTORS[:, None]).min(1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, keys): the digest of the set of shingles and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, keys = [], []
+            for text in utf8(column(batch, "text")):
+                own = shingles(text)
+                digests.append(digest_of(own))
+                keys.append(band_keys(own))
+            offsets = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(digests, pa.int64()), lists], names=["doc_id", "digest", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, digest bigint, keys array<bigint>")
+
+
+def connected(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set the place of the first one of its component, by links of at least the similarity."""
+    label = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    marked = np.zeros(len(values), bool)
+    rest = np.arange(len(sets))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        queue = [first]
+        while queue and len(rest):
+            at = queue.pop()
+            own = tokens[starts[at] : starts[at] + sizes[at]]
+            alike = np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at])
+            some = rest[alike]
+            if not len(some):
+                continue
+            marked[own] = True
+            ends = np.cumsum(sizes[some])
+            places = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - sizes[some]), sizes[some])
+            shared = np.add.reduceat(marked[tokens[places]], ends - sizes[some], dtype=np.int64)
+            marked[own] = False
+            near = some[shared >= similarity * (sizes[some] + sizes[at] - shared)]
+            label[near] = first
+            queue += near.tolist()
+            rest = rest[label[rest] == rest]
+    return label
+
+
+def links(docs: DataFrame, distinct: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Links (a, b) between the first_id of sets that connect all candidates of at least SIMILARITY.
+
+    distinct: (digest, first_id, keys), one row for each set.
+    """
+    rows = distinct.select("digest", "first_id", F.explode("keys").alias("key"))
+    counts = rows.groupBy("key", halved("key")).agg(F.count("digest").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group_limit).cast("int").alias("blocks"))
+    block = F.pmod(F.hash("digest"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.join(counts, "key").select("digest", "first_id", "key", block.alias("own"), other.alias("other"))
+    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("route")
+    routes = dealt.select("digest", "first_id", group)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    wanted = checkpointed(routes)
+    only = wanted.select(F.col("first_id").alias("doc_id")).distinct()
+    found = texts.join(only, "doc_id", "left_semi").join(wanted, F.col("doc_id") == F.col("first_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route, held = None, {}
+
+        def linked() -> pa.RecordBatch:
+            ids, sets = [i for i, _ in held.values()], [s for _, s in held.values()]
+            to = connected(sets) if len(sets) > 1 else np.arange(len(sets))
+            pairs = [(ids[k], ids[t]) for k, t in enumerate(to.tolist()) if k != t]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:  # ascending routes
+            for r, digest, first, text in zip(*(column(batch, c).to_pylist() for c in ("route", "digest", "first_id")), utf8(column(batch, "text")), strict=True):
+                if r != route:
+                    if len(held) > 1:
+                        yield linked()
+                    route, held = r, {}
+                if digest not in held and digest_of(own := shingles(text)) == digest:  # a doc_id may have other texts too
+                    held[digest] = (first, own)
+        if len(held) > 1:
+            yield linked()
+
+    return found.select("route", "digest", "first_id", "text").repartition("route").sortWithinPartitions("route").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Per document: doc_id, component_id: the smallest doc_id reachable over links of at least SIMILARITY."""
+    sketched = checkpointed(sketches(docs))
+    distinct = sketched.groupBy("digest", halved("digest")).agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    found = components(links(docs, distinct.where("first_id is not null"), group_limit))
+    firsts = distinct.select("digest", "first_id")
+    least = firsts.join(found, firsts.first_id == found.id, "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id"))
+    return sketched.select("doc_id", "digest").join(least, "digest").select("doc_id", "component_id")

@@ -1,0 +1,72 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from scriptorium.llm import near_copies
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b) > 0
+
+
+def plain_components(texts):
+    """ids -> least id reachable over links of Jaccard similarity 0.8 or more."""
+    sets = {i: plain_set(t) for i, t in texts.items()}
+    label, ids = {}, sorted(texts)
+    for i in ids:
+        if i in label:
+            continue
+        label[i], queue = i, [i]
+        while queue:
+            at = queue.pop()
+            near = [j for j in ids if j not in label and alike(sets[at], sets[j])]
+            label |= dict.fromkeys(near, i)
+            queue += near
+    return label
+
+
+def changed(text, n, rng):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def test_stage_drops_near_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    least = plain_components(texts)
+    assert least[145] == 6 and least[177] == 1  # similarity 0.83, 7 and 11 bits of a SimHash apart
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in sorted(texts) if least[i] == i]
+
+
+@pytest.mark.parametrize("limit", [400, 6])
+def test_against_brute_force(spark, limit):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(3, 200)))
+        texts += [base, *(changed(base, min(n, len(base.split())), rng) for n in (1, 1, 2, 4, 7))]
+    chain = [" ".join(f"c{i}" for i in range(k, k + 100)) for k in range(0, 60, 6)]  # only neighbours are alike
+    texts += [*chain, *(changed(chain[0], 1, rng) for _ in range(30)), "", " ", "One two", "one  TWO"]
+    texts = dict(enumerate(rng.sample(texts, len(texts))))
+    want = plain_components(texts)
+    assert 40 < len(set(want.values())) < len(want)
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), limit)
+    assert {r.doc_id: r.component_id for r in found.collect()} == want
+
+
+def test_edge_cases(spark):
+    text = " ".join(map(str, range(50)))
+    rows = [(7, None), (3, ""), (5, " \t\n"), (9, "Aa b"), (9, "aA B"), (None, "aa b"), (11, "x"), (20, text), (20, "another text"), (None, text + " 50"), (13, text + " 51")]
+    frame = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id bigint, text string, digest string, component_id int")
+    got = sorted(((r.doc_id, r.component_id) for r in near_copies.near_copies(frame).collect()), key=str)
+    assert got == sorted([(7, 3), (3, 3), (5, 3), (9, 9), (9, 9), (None, 9), (11, 11), (20, 13), (20, 13), (None, None), (13, 13)], key=str)
+    assert near_copies.near_copies(frame.limit(0)).count() == 0
