@@ -3,8 +3,8 @@
 Pieces are runs of non-space characters, cut every ``PIECE`` characters, and hashed. A window of
 ``K`` pieces is a closed syncmer if the least of its inner pieces (S = 1) lies at its first or
 last place. Whether it is one depends on the window alone, so an edit changes anchors only where
-it touches them, and equal passages carry the same anchors at a constant offset. A text with
-fewer than K pieces is one window of what it has.
+it touches them, and equal passages carry the same anchors at a constant offset. A text without a
+closed syncmer (fewer than K pieces, or K with the least in the middle) has one anchor of all its pieces.
 
 The fingerprint is the sorted list of the ``SKETCH`` least distinct anchor hashes, in hex. The
 likeness of two fingerprints estimates the Jaccard similarity of their anchor sets: of the
@@ -51,19 +51,25 @@ def _closed(w: Column) -> Column:
     return (w["a"] <= w["b"]) | (w["c"] < w["b"])
 
 
+def _unselected(hashes: Column) -> Column:
+    """There are pieces but no syncmer: fewer than K, or K with the least in the middle (of two windows in a row one is closed)."""
+    size = F.size(hashes)
+    return size.between(1, K - 1) | ((size == K) & (F.get(hashes, F.lit(1)) < F.get(hashes, F.lit(0))) & (F.get(hashes, F.lit(1)) <= F.get(hashes, F.lit(2))))
+
+
 def anchors(hashes: Column) -> Column:
     """array<struct<position, hash>> of the syncmers; positions count pieces from 0."""
     windows = F.transform(_windows(hashes), lambda w, i: F.struct(i.alias("position"), F.xxhash64(w["a"], w["b"], w["c"]).alias("hash"), _closed(w).alias("closed")))
     found = F.transform(F.filter(windows, lambda w: w["closed"]), lambda w: F.struct(w["position"].alias("position"), w["hash"].alias("hash")))
-    few = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(hashes).alias("hash")))
-    return F.when(F.size(hashes).between(1, K - 1), few).otherwise(found)
+    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(hashes).alias("hash")))
+    return F.when(_unselected(hashes), whole).otherwise(found)
 
 
 def _anchor_hashes(hashes: Column) -> Column:
     """The first 32 bits of the anchors' hashes: not negative, so that their hex forms sort as they do."""
     short = lambda h: F.shiftrightunsigned(h, 32)
     found = F.transform(F.filter(_windows(hashes), _closed), lambda w: short(F.xxhash64(w["a"], w["b"], w["c"])))
-    return F.when(F.size(hashes).between(1, K - 1), F.array(short(F.xxhash64(hashes)))).otherwise(found)
+    return F.when(_unselected(hashes), F.array(short(F.xxhash64(hashes)))).otherwise(found)
 
 
 def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:

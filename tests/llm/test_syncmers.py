@@ -58,3 +58,12 @@ def test_neighbours_over_many_ranges(spark):
     frame = spark.createDataFrame([(i, "x" * (i % 7)) for i in ids], "doc_id bigint, text string")
     got = {r.doc_id: (r.next_id, r.previous_id, r.previous_chars) for r in syncmers.following(frame, 16).collect()}
     assert got == {i: (ids[(k + 1) % 700], ids[k - 1], ids[k - 1] % 7) for k, i in enumerate(ids)}
+
+
+def test_three_pieces_always_have_an_anchor(spark):
+    texts = [f"a{i} b{i} c{i}" for i in range(60)]
+    frame = syncmers.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "print").withColumn("h", syncmers.piece_hashes(F.col("text")))
+    rows = frame.select("print", "h", syncmers.anchors(F.col("h")).alias("found")).collect()
+    assert any(r.h[1] == min(r.h) for r in rows)
+    assert all(len(r.print) == syncmers.WIDTH and [a.position for a in r.found] == [0] for r in rows)
+    assert len({r.print for r in rows}) == len(texts)
