@@ -1,9 +1,12 @@
 """Operator 1 [native]: document fingerprints from closed syncmers, in DataFrame functions only.
 
-Pieces are runs of non-space characters, cut every ``PIECE`` characters, and hashed. A window of
+Pieces are runs of non-space characters, hashed. A run of more than ``PIECE`` characters (unspaced scripts,
+encoded data, minified code) is cut where the characters around a place say so (a hash of four of them, one place
+in ``CUT``), so that cuts don't depend on the offset in the run; only a stretch without such a place is
+cut every PIECE characters from the cut before it, and the next place ends that. A window of
 ``K`` pieces is a closed syncmer if the least of its inner pieces (S = 1) lies at its first or
-last place. Whether it is one depends on the window alone, so an edit changes anchors only where
-it touches them, and equal passages carry the same anchors at a constant offset. A text without a
+last place. Whether it is one depends on the window alone, so an edit changes the anchors of the pieces that
+it touches (in a long run, up to the next cut by content), and equal passages carry the same anchors at a constant offset. A text without a
 closed syncmer (fewer than K pieces, or K with the least in the middle) has one anchor of all its pieces.
 
 The fingerprint is the sorted list of the ``SKETCH`` least distinct anchor hashes, in hex. The
@@ -26,16 +29,34 @@ from .common import checkpointed, with_long_id
 K = 3
 PIECE = 16
 SKETCH = 128
+#: In a long run one place in so many is a cut.
+CUT = 8
 #: Hex digits of an anchor in a fingerprint.
 WIDTH = 8
 PIECES = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
+RUN, LONG = r"[^\x20\x09-\x0D]+", rf"[^\x20\x09-\x0D]{{{PIECE + 1}}}"
 #: Ranges of doc_id in which a document looks for the next one by a window.
 RANGES = 512
 
 
+def _cut(run: Column) -> Column:
+    """A run with a space at its cuts. Repeated characters are never parted, as all places between them are alike."""
+
+    def place(chars: Column, c: Column, i: Column) -> Column:
+        after = F.get(chars, i + 1)
+        cut = (c != after) & (F.pmod(F.xxhash64(F.get(chars, i - 1), c, after, F.get(chars, i + 2)), F.lit(CUT)) == 0)
+        return F.when(cut, F.concat(c, F.lit(" "))).otherwise(c)
+
+    # an array of one array: its lambda's variable stands for the characters, which are computed once
+    return F.transform(F.array(F.split(run, "")), lambda chars: F.array_join(F.transform(chars, lambda c, i: place(chars, c, i)), ""))[0]
+
+
 def piece_hashes(text: Column) -> Column:
     """The hash of every piece, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda p: F.xxhash64(p))
+    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    parted = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) > PIECE, _cut(r)).otherwise(r)), " ")
+    pieces = F.regexp_extract_all(F.when(text.rlike(LONG), parted).otherwise(text), F.lit(PIECES), F.lit(0))
+    return F.transform(pieces, lambda p: F.xxhash64(p))
 
 
 def _windows(hashes: Column) -> Column:

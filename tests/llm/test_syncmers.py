@@ -67,3 +67,19 @@ def test_three_pieces_always_have_an_anchor(spark):
     assert any(r.h[1] == min(r.h) for r in rows)
     assert all(len(r.print) == syncmers.WIDTH and [a.position for a in r.found] == [0] for r in rows)
     assert len({r.print for r in rows}) == len(texts)
+
+
+def test_an_insertion_into_unspaced_text(spark):
+    rng = random.Random(6)
+    kinds = {"cjk": [chr(c) for c in range(0x4E00, 0x5200)], "base64": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), "dna": list("ACGT"), "wide": [chr(c) for c in range(0x20000, 0x20100)]}
+    rows = []
+    for kind, letters in kinds.items():
+        text = "".join(rng.choices(letters, k=4000))
+        rows += [(kind, at, text, text[:at] + rng.choice(letters) + text[at:]) for at in (0, 1, 1999, 4000)]
+    frame = spark.createDataFrame(rows, "kind string, at int, a string, b string")
+    frame = frame.withColumn("ha", syncmers.piece_hashes(F.col("a"))).withColumn("hb", syncmers.piece_hashes(F.col("b")))
+    frame = syncmers.with_fingerprint(syncmers.with_fingerprint(frame, "a", "fa"), "b", "fb")
+    found = frame.select("kind", "at", syncmers.anchors(F.col("ha")).alias("x"), syncmers.anchors(F.col("hb")).alias("y"), syncmers.likeness(F.col("fa"), F.col("fb")).alias("near")).collect()
+    for r in found:
+        x, y = ({a.hash for a in side} for side in (r.x, r.y))
+        assert len(x) > 200 and len(x ^ y) <= 24 and r.near > 0.85, (r.kind, r.at, len(x), len(x ^ y), r.near)
