@@ -193,13 +193,8 @@ def from_small(data: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
 
 def distinct(h: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct hashes, and how often each occurs where training holds."""
-    own, counts = np.unique(h[training], return_counts=True)
-    if training.all():
-        return own, counts
-    keys = np.unique(np.concatenate((own, np.unique(h[~training]))))
-    out = np.zeros(len(keys), np.int64)
-    out[np.searchsorted(keys, own)] = counts
-    return keys, out
+    keys, places = np.unique(h, return_inverse=True)
+    return keys, np.bincount(places[training], minlength=len(keys))
 
 
 def _cuts(keys: np.ndarray, bits: int, power: int) -> np.ndarray:
@@ -216,12 +211,11 @@ def _asked(h: np.ndarray, starts: np.ndarray, training: np.ndarray, bits: int, p
     found = [distinct(h, training), distinct(two, training), distinct(three[inner], training[inner])]
     cuts = [_cuts(keys, width, power) for (keys, _), width in zip(found, (64, bits, bits), strict=True)]
     for k in range(1 << power):
-        parts = [b""]
+        parts: list[bytes] = []
         for (keys, counts), cut in zip(found, cuts, strict=True):
             own = keys[cut[k] : cut[k + 1]]
-            gaps = own.copy()
-            gaps[1:] -= own[:-1]
-            parts += [struct.pack("<I", len(own)), planes(gaps), small(counts[cut[k] : cut[k + 1]])]
+            first = int(own[0]) if len(own) else 0
+            parts += [struct.pack("<IQ", len(own), first), planes(np.diff(own, prepend=np.uint64(first))), small(counts[cut[k] : cut[k + 1]])]
         yield b"".join(parts)
 
 
@@ -229,10 +223,10 @@ def _read(packet: memoryview) -> list[tuple[np.ndarray, np.ndarray]]:
     """The (hashes, counts) of a packet's tokens, pairs and triples."""
     at, out = 0, []
     for _ in range(3):
-        (n,) = struct.unpack_from("<I", packet, at)
-        gaps, at = from_planes(packet, at + 4, n)
+        n, first = struct.unpack_from("<IQ", packet, at)
+        gaps, at = from_planes(packet, at + 12, n)
         counts, at = from_small(packet, at, n)
-        out.append((np.cumsum(gaps, dtype=np.uint64), counts))
+        out.append((np.cumsum(gaps, dtype=np.uint64) + np.uint64(first), counts))
     return out
 
 
