@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import common, decontaminate, quality, substring_dedup
@@ -24,3 +26,33 @@ def test_halved_groups_are_the_same(spark):
 def test_folders(spark):
     a, b = common.shared_folder(spark, "x"), common.shared_folder(spark, "x")
     assert a != b and a.startswith(common.checkpoint_folder(spark))
+
+
+def test_portions_are_bounded():
+    batch = pa.record_batch({"text": ["a" * 10, None, "b" * 3, "", "c" * 50, "d"] + ["e"] * 9, "k": list(range(15))})
+    parts = list(common.portions(batch, most_rows=4, most_bytes=12))
+    assert [r for p in parts for r in p.column("k").to_pylist()] == list(range(15))
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 12) for p in parts)
+    assert list(common.portions(batch.slice(0, 0))) == []
+
+
+def test_shared_folder_is_asked_for_off_a_local_master(monkeypatch):
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, path):
+            self.dir = path
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext, self.conf = Context(master), {"spark.checkpoint.dir": named} if named else {}
+
+    assert common.checkpoint_folder(Session("local[4]")) and common.checkpoint_folder(Session("local"))
+    assert common.checkpoint_folder(Session("yarn", "hdfs:///x")) == "hdfs:///x"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            common.checkpoint_folder(Session(master))
