@@ -7,10 +7,11 @@ attention (Ilse et al., 2018) weighs passages, weights learnt from the document
 weighted passage representation gives the score through a logistic unit.
 
 The model is fitted on the driver to at most ``SAMPLE`` labelled documents, those with the
-least hashes of doc_id and text among the rows whose crc32 of doc_id isn't divisible by 5. Their
-histograms are made on the executors; of a document with more than ``BAG`` passages, evenly
-spaced ones train. Scores use all passages of all documents. No shuffle but for the labels
-(a row each) and the sample. The model is broadcast: its size is fixed.
+least hashes of doc_id and text among the rows whose crc32 of doc_id isn't divisible by 5. They are taken in that order, but for
+those that would bring the sample beyond ``SAMPLE_PASSAGES`` passages (of 2 kB each, as halves of floats), so that its memory is
+bounded too. Every passage of the sample trains; histograms are made on the executors. Scores use all passages of all documents, a block of
+``BLOCK`` passages at a time with a running softmax, so that memory doesn't grow with a text. No shuffle but for the labels
+(a row each) and the sample. The model is broadcast as plain arrays: its size is fixed.
 
 Only the text is an input of a score. Training is seeded, so the same rows give the same model.
 
@@ -30,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried_schema, column, utf8, with_carried, with_rest
+from .common import carried_schema, column, portions, utf8, with_carried, with_rest
 
 PASSAGE = 512
 #: Features of a passage: 256 bytes, byte pairs by a hash, and bytes equal to the one 1, 2, ... before (at its place 0 the largest of those from 3 on).
 FEATURES, LAGS = 1024, 32
 HIDDEN, GATE = 24, 12
-SAMPLE = 4000
-BAG = 32
+#: Bounds of the sample that the model is fitted to: documents, and their passages.
+SAMPLE, SAMPLE_PASSAGES = 4000, 65_536
+#: Passages that are scored at a time.
+BLOCK = 1024
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 64, 0.003, 1e-4, 17
 THRESHOLD = 0.3
 
@@ -47,26 +50,42 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
-def passages(text: bytes | None) -> np.ndarray:
-    """A row of features for each passage: square roots of shares."""
-    b = np.frombuffer(text or b"", np.uint8).astype(np.int64)
-    n = max(1, -(-len(b) // PASSAGE))
-    out = np.zeros(n * FEATURES)
-    if len(b):
-        starts = np.arange(n) * PASSAGE
-        at = np.arange(len(b)) // PASSAGE * FEATURES
-        pair = 256 + (b[:-1] * 167 + b[1:] * 241) % (FEATURES - 256 - LAGS)
-        out = (np.bincount(at + b, minlength=n * FEATURES) + np.bincount(at[:-1] + pair, minlength=n * FEATURES)).astype(np.float64)
-        rows = out.reshape(n, FEATURES)
+def passages(text: bytes | None, first: int = 0, after: int | None = None) -> np.ndarray:
+    """A row of features for each passage, or each from ``first`` to ``after``: square roots of shares."""
+    size = len(text or b"")
+    n = max(1, -(-size // PASSAGE))
+    after = n if after is None else min(after, n)
+    start, stop = first * PASSAGE, min(after * PASSAGE, size)
+    rows = np.zeros((after - first, FEATURES))
+    if size:
+        lead = min(start, LAGS)
+        # with the bytes before, which lags look back to, and the one after, which the last pair ends with
+        b = np.frombuffer(text, np.uint8, min(stop + 1, size) - (start - lead), start - lead).astype(np.int64)
+        own = b[lead : lead + stop - start]
+        at = np.arange(len(own)) // PASSAGE * FEATURES
+        follow = b[lead + 1 : lead + 1 + len(own)]
+        pair = 256 + (own[: len(follow)] * 167 + follow * 241) % (FEATURES - 256 - LAGS)
+        flat = np.bincount(at + own, minlength=rows.size) + np.bincount(at[: len(follow)] + pair, minlength=rows.size)
+        rows = flat.astype(np.float64).reshape(rows.shape)
+        starts = np.arange(len(rows)) * PASSAGE
         for lag in range(1, LAGS):
-            same = np.zeros(len(b), np.int32)
-            same[lag:] = b[lag:] == b[:-lag]
+            same = np.zeros(len(own), np.int32)
+            skip = max(0, lag - lead)  # nothing lies before the text
+            if skip < len(own):
+                same[skip:] = own[skip:] == b[lead - lag + skip : lead - lag + len(own)]
             rows[:, FEATURES - LAGS + lag] = np.add.reduceat(same, starts)
         rows[:, FEATURES - LAGS] = rows[:, FEATURES - LAGS + 3 :].max(1)
-        sizes = np.full(n, PASSAGE)
-        sizes[-1] = len(b) - (n - 1) * PASSAGE
+        sizes = np.full(len(rows), PASSAGE)
+        sizes[-1] = len(own) - starts[-1]
         rows /= sizes[:, None]
-    return np.sqrt(out.reshape(n, FEATURES)).astype(np.float32)
+    return np.sqrt(rows).astype(np.float32)
+
+
+def passage_blocks(text: bytes | None, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """The features of all passages, so many at a time."""
+    n = max(1, -(-len(text or b"") // PASSAGE))
+    for first in range(0, n, size):
+        yield passages(text, first, first + size)
 
 
 class Model:
@@ -79,6 +98,16 @@ class Model:
         }
         self.constant: float | None = None
 
+    def plain(self) -> tuple[dict[str, np.ndarray], float | None]:
+        """What a broadcast carries: nothing that a worker would need this package to read."""
+        return self.w, self.constant
+
+    @classmethod
+    def of(cls, plain: tuple[dict[str, np.ndarray], float | None]) -> Model:
+        out = cls.__new__(cls)
+        out.w, out.constant = plain
+        return out
+
     def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         """Bags of rows that begin at starts."""
         w, sizes = self.w, np.diff(np.append(starts, len(x)))
@@ -127,33 +156,44 @@ class Model:
     def score(self, text: bytes | None) -> float:
         if self.constant is not None:
             return self.constant
-        return float(self.forward(passages(text), np.zeros(1, np.int64))["p"][0])
+        w, most, total, z = self.w, -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in passage_blocks(text):
+            h = np.tanh(x @ w["encode"] + w["shift"])
+            e = (np.tanh(h @ w["v"]) * (1 / (1 + np.exp(-(h @ w["u"]))))) @ w["attend"]
+            now = max(most, float(e.max()))
+            weights, before = np.exp(e - now), np.exp(most - now)
+            total, z, most = total * before + float(weights.sum(dtype=np.float64)), z * before + weights.astype(np.float64) @ h, now
+        return float(1 / (1 + np.exp(-(z / total @ w["out"] + w["bias"][0]))))
 
 
 def usable(labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, y): one label of 0 or 1 for each document."""
-    own = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
-    return own.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    own = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("y"))
+    return own.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("y").cast("int").alias("y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, sample: int = SAMPLE) -> Model:
-    """Fit to at most ``sample`` labelled documents outside the held-out part."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES) -> Model:
+    """Fit to at most ``sample`` labelled documents outside the held-out part, of at most ``sample_passages`` passages in all."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for text in utf8(column(batch, "text")):
-                x = passages(text)
-                if len(x) > BAG:
-                    x = x[np.linspace(0, len(x) - 1, BAG).astype(int)]
-                bags.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "order"), column(batch, "doc_id"), column(batch, "y"), pa.array(bags, pa.binary())], names=["order", "doc_id", "y", "bag"])
+            for part in portions(batch, most_rows=64, most_bytes=1 << 20):
+                bags = [b"".join(x.astype(np.float16).tobytes() for x in passage_blocks(text)) for text in utf8(column(part, "text"))]
+                yield pa.RecordBatch.from_arrays([column(part, "order"), column(part, "doc_id"), column(part, "y"), pa.array(bags, pa.binary())], names=["order", "doc_id", "y", "bag"])
 
+    own = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)).cast("long")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(~held_out(F.col("doc_id"), parts)).withColumn("order", F.xxhash64("doc_id", "text"))
-    known = texts.select("doc_id", "order").join(usable(labels, label), "doc_id").distinct()
-    chosen = known.orderBy("order", "doc_id").limit(sample)  # top-k in every task, then one of them: at most ``sample`` rows
-    texts = texts.join(F.broadcast(chosen), ["doc_id", "order"]).select("order", "doc_id", "y", "text").dropDuplicates(["order", "doc_id"])
-    rows = texts.mapInArrow(encode, "order bigint, doc_id bigint, y int, bag binary").collect()  # at most BAG passages each
+    known = texts.select("doc_id", "order", own.alias("n")).join(usable(labels, label), "doc_id").distinct()
+    chosen, room = [], sample_passages
+    for r in known.orderBy("order", "doc_id").limit(sample).collect():  # top-k in every task, then one of them: at most ``sample`` rows
+        if r["n"] <= room:
+            chosen.append((r["doc_id"], r["order"], r["y"]))
+            room -= r["n"]
+    if not chosen:
+        return Model().fit([], np.zeros(0, np.float32))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint, order bigint, y int"))
+    texts = texts.join(picked, ["doc_id", "order"]).select("order", "doc_id", "y", "text").dropDuplicates(["order", "doc_id"])
+    rows = texts.mapInArrow(encode, "order bigint, doc_id bigint, y int, bag binary").collect()  # at most sample_passages passages
     rows.sort(key=lambda r: (r["order"], r["doc_id"]))
     bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES) for r in rows]
     return Model().fit(bags, np.array([r["y"] for r in rows], np.float32))
@@ -164,10 +204,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: bo
 
     carry: take the text and the other columns along (see ``common.restored``), so that no join has to.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = shared.value
+        own = Model.of(shared.value)
         for batch in batches:
             found = [own.score(t) for t in utf8(column(batch, "text"))]
             yield with_carried([column(batch, "doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"], batch)
