@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, portions
 
 #: Words kept in a task's memo before it starts again.
 MEMO = 400_000
@@ -129,8 +129,7 @@ def _task(path: str, pattern: str, decode: bool):
         ranks = read_ranks(path)
         encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # few documents at a time bound the output
-                part = batch.slice(at, 512)
+            for part in portions(batch):  # few documents at a time bound the output
                 ids = [encoder.encode(t) if t else b"" for t in column(part, "text").to_pylist()]
                 columns = [column(part, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decode:

@@ -22,12 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import read_ranks
-from .common import column
+from .bpe import Encoder, read_ranks
+from .common import column, portions
 
 RULES = ("start", "majority", "split")
 
@@ -70,18 +69,17 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "start"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
-        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoder = Encoder(ranks, pattern)
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in portions(batch, most_rows=256):
                 parts: list[list[np.ndarray]] = [[] for _ in SCHEMA]
                 missing: list[np.ndarray] = []
                 for doc_id, text in zip(column(part, "doc_id").to_pylist(), column(part, "text").to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    ids = library.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+                    ids = np.frombuffer(encoder.encode(text) if text else b"", "<u4")
                     ends = line_ends(raw)
                     counts, crossing = attribute(np.cumsum(lengths[ids]), ends, rule)
                     # code points before each byte offset: bytes that don't continue a code point

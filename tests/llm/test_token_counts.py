@@ -1,6 +1,7 @@
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, queries, token_counts
 
@@ -44,13 +45,26 @@ def test_rules_against_plain(spark, rule):
     assert any(r.crossing for r in rows)
 
 
-def test_query_adds_up(spark):
+def test_query_against_plain(spark):
+    ranks = bpe.read_ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = queries.op2_token_counts(spark, SF).collect()
+    rows = sorted(queries.op2_token_counts(spark, SF).collect(), key=lambda r: (r.doc_id, r.section))
     assert {r.doc_id for r in rows} == set(docs)
     for i, text in docs.items():
         own = [r for r in rows if r.doc_id == i]
-        assert sum(r.n_tokens for r in own) == own[0].doc_tokens and max(r.after_char for r in own) == len(text)
+        assert [r.n_tokens for r in own] == plain(text, ranks, library, "start")
+        assert "".join(text[r.first_char : r.after_char] for r in own) == text
+        assert {r.doc_tokens for r in own} == {len(library.encode_ordinary(text))}
+
+
+def test_long_texts(spark):
+    texts = {1: " " * 2_000_000, 2: "\n" * 300_000, 3: "x" * 2_000_000, 4: "word " * 400_000}
+    rows = token_counts.section_tokens(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), PATH, public_tokenizers.PATTERN)
+    got = {r.doc_id: (r.sections, r.tokens, r.doc, r.chars) for r in rows.groupBy("doc_id").agg(F.count("section").alias("sections"), F.sum("n_tokens").alias("tokens"), F.max("doc_tokens").alias("doc"), F.max("after_char").alias("chars")).collect()}
+    for i, text in texts.items():
+        sections, tokens, doc, chars = got[i]
+        assert (sections, tokens, chars) == (300_000 if i == 2 else 1, doc, len(text)) and 0 < doc <= len(text)
 
 
 def test_edges(spark):
