@@ -4,7 +4,8 @@ Each URL expands to every suffix of its host at label boundaries, joined with ev
 its path that has the length of some rule's path. Expressions meet rules by an equi-join on the
 first four bytes of their SHA-256; full digests confirm a match, and the longest rule wins
 (then the one with the longer host, then block before allow). Only built-in expressions are
-used. Pages are never shuffled whole: only matches are grouped, by row.
+used. A verdict depends on the host and the path alone, so each distinct pair of them is judged once and meets its pages by
+the pair; of a page only its id, host and path move.
 
 Rules join without a hint, so Spark broadcasts them below its own size threshold and shuffles
 beyond it. Path lengths come from the rules as a list of at most ``MOST_LENGTHS`` numbers; a
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import halved
+
 MOST_LENGTHS = 256
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +47,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """pages (page_id, url), rules (action, host, path): page_id, host, path, rule, verdict for every page."""
     rules = rules.select("action", "host", "path").dropna().distinct()
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(MOST_LENGTHS + 1).collect())
-    urls = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path")).withColumn("row", F.monotonically_increasing_id())
+    urls = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
     labels = F.split("host", r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     if len(lengths) <= MOST_LENGTHS:
@@ -52,10 +55,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     else:
         sizes = F.sequence(F.lit(0), F.length("path"))
     tries = (
-        urls.select("row", F.explode(hosts).alias("suffix"), sizes.alias("sizes"), "path")
-        .select("row", "suffix", F.explode("sizes").alias("size"), "path")
+        urls.select("host", "path").distinct()
+        .select("host", F.explode(hosts).alias("suffix"), sizes.alias("sizes"), "path")
+        .select("host", "suffix", F.explode("sizes").alias("size"), "path")
         # a newline can be in neither, so that no two pairs give one expression
-        .select("row", _digest(F.concat("suffix", F.lit("\n"), F.substring("path", F.lit(1), F.col("size")))).alias("full"))
+        .select("host", "path", _digest(F.concat("suffix", F.lit("\n"), F.substring("path", F.lit(1), F.col("size")))).alias("full"))
         .withColumn("short", F.substring("full", 1, 4))
     )
     known = rules.select(
@@ -63,5 +67,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         (F.length("host") + F.length("path")).alias("long"), F.length("host").alias("long_host"),
     ).withColumn("short", F.substring("rule_full", 1, 4))
     best = F.max(F.struct("long", "long_host", (F.col("action") == "block").alias("blocks"), "rule", "action"))
-    found = tries.join(known, "short").where("full = rule_full").groupBy("row").agg(best.alias("best")).select("row", "best.rule", "best.action")
-    return urls.join(found, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    found = tries.join(known, "short").where("full = rule_full").groupBy("host", "path", halved("host")).agg(best.alias("best")).select("host", "path", "best.rule", "best.action")
+    return urls.join(found, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

@@ -37,3 +37,21 @@ def test_random_urls(spark, monkeypatch):
         assert sorted(map(tuple, url_filter.filter_urls(pages, frame).collect()), key=str) == want
     assert {r.verdict for r in url_filter.filter_urls(pages, frame.limit(0), "block").collect()} == {"block"}
     assert url_filter.filter_urls(pages.limit(0), frame).count() == 0
+
+
+def test_repeated_and_unnamed_rows_and_long_urls(spark):
+    long = "http://" + ".".join("a" * 60 for _ in range(30)) + ".com/fr/" + "x" * 100_000
+    rows = [(None, "http://a.com/fr/1"), (None, "http://a.com/fr/1"), (3, "http://a.com/fr/1"), (4, long), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "action string, host string, path string")
+    got = sorted(map(tuple, url_filter.filter_urls(pages, rules, "block").collect()), key=str)
+    want = [(i, *plain(u, queries.URL_RULES)) for i, u in rows]
+    assert got == sorted([(*w[:4], w[4] if w[3] else "block") for w in want], key=str)
+
+
+def test_rows_are_found_again_after_a_shuffle(spark):
+    """Nothing depends on the order in which a frame comes out when it's computed anew."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rules = spark.createDataFrame(queries.URL_RULES, "action string, host string, path string")
+    want = sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()))
+    assert sorted(map(tuple, url_filter.filter_urls(pages.repartition(13), rules).collect())) == want
