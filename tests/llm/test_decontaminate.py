@@ -44,12 +44,43 @@ def test_random_texts_with_few_words_and_shards(spark):
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, items string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = sorted((i, *plain(t, items, 5)) for i, t in docs)
-    for size in (1 << 20, 30):
-        found = decontaminate.judged(decontaminate.find_windows(frame, bench, 5, size)).collect()
+    for words, at_once in ((1 << 20, 4), (8, 3), (5, 1)):  # one automaton, several in a pass, several passes
+        found = decontaminate.judged(decontaminate.find_windows(frame, bench, 5, words, at_once)).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found) == want
-        for r in found:
-            spans = [(s.first, s.after) for s in r.spans]
-            assert len(decontaminate.without_spans(r.text, spans).split()) == r.n_words - r.n_hit
+
+
+def test_items_of_one_text_and_shards(spark):
+    """Copies of an item are one sequence with all their ids, however the rest is cut into shards."""
+    words = [f"w{k}" for k in range(60)]
+    items = [(f"copy{k}", " ".join(words[:20])) for k in range(9)] + [(f"own{k}", " ".join(words[k : k + 14])) for k in range(0, 40, 2)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(1, " ".join(words)), (2, " ".join(["x", *words[5:19], "y"])), (3, "X " * 50)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = sorted((i, *plain(t, items)) for i, t in docs)
+    for words_, at_once in ((1 << 20, 4), (30, 2), (1, 1)):
+        found = decontaminate.judged(decontaminate.find_windows(frame, bench, shard_words=words_, pass_shards=at_once)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found) == want
+    assert len(want[1][3]) > 9
+
+
+def test_spans_are_cut_out(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([("a", item), ("b", "Zwei Wörter")], "item_id string, text string")
+    texts = {1: f"Éa, {item.upper()}! end.", 2: "no\thit  here", 3: None, 4: "", 5: f"x zwei--wörter y {item} z", 6: item, 7: "pad " * 900 + "zwei wörter"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").selectExpr("*", "'q' as clean_")
+    found = decontaminate.find_windows(frame, bench)
+    clean = lambda **k: {r.doc_id: r.clean for r in decontaminate.without_spans(found, **k).collect()}
+    assert clean() == {1: "Éa, ! end.", 2: "no\thit  here", 3: None, 4: "", 5: "x  y  z", 6: "", 7: "pad " * 900}
+    assert clean(least=13)[5] == "x zwei--wörter y  z"
+    assert clean(percent=5)[7] == texts[7] and clean(percent=5)[5] == "x  y  z"
+
+
+def test_long_texts(spark):
+    bench = spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(20)))], "item_id string, text string")
+    texts = {1: "w0 " * 700_000, 2: " " * 2_000_000 + " ".join(f"w{k}" for k in range(20)), 3: "w" * 2_000_000}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.judged(decontaminate.find_windows(frame, bench)).collect()}
+    assert got == {1: (700_000, 0), 2: (20, 20), 3: (1, 0)}
 
 
 def test_empty_tables(spark):
