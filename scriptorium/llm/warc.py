@@ -34,10 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, halved
+from .common import column, halved, portions
 
 #: A payload of more than 1 in so many pages is decided by a broadcast of at most so many rows.
 HOT = 1000
+#: Frames of an archive, and about the most bytes; a reader holds one archive.
+LINES, ARCHIVE_BYTES = 4096, 64 << 20
 #: Magic numbers of the Zstandard format and of its use for WARC (fixed values).
 FRAME_MAGIC = 0xFD2FB528
 SKIPPABLE_MAGIC = 0x184D2A50
@@ -194,22 +196,35 @@ def with_responses(pages: DataFrame, revisit_from: int = 0, hot: int = HOT) -> D
     return first.unionByName(rest).drop("same")
 
 
-def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
-    """One archive for each partition, as ``path/part-*``."""
+def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, lines: int = LINES, most_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives as ``path/part-*``, of at most ``lines`` frames, and of about ``most_bytes`` bytes unless one record has more.
+
+    Spark's sink begins a new file after every ``lines`` lines. An archive that is full before that is filled up with empty lines, which
+    are empty skippable frames, so that the next line is the first one of a new file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = zstandard.ZstdCompressionDict(SAMPLE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         encoder = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
-        yield pa.RecordBatch.from_arrays([pa.array([skippable(SAMPLE)], pa.binary())], names=["frame"])
+        leading = skippable(SAMPLE)
+        line = size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = zip(*(column(part, c).to_pylist() for c in ("page_id", "url", "payload", "response_id")), strict=True)
-                made = [encoder.compress(record(i, url, payload, to, to is not None and to != i)) for i, url, payload, to in rows]
+            for part in portions(batch, "payload", 256):
+                made = []
+                for i, url, payload, to in zip(*(column(part, c).to_pylist() for c in ("page_id", "url", "payload", "response_id")), strict=True):
+                    frame = encoder.compress(record(i, url, payload, to, to is not None and to != i))
+                    if line and size + len(frame) > most_bytes:
+                        made += [b""] * (lines - line)
+                        line = 0
+                    if not line:
+                        made.append(leading)
+                        line, size = 1, len(leading)
+                    made.append(frame)
+                    line, size = (line + 1) % lines, size + len(frame)
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["frame"])
 
     framed = with_responses(pages, revisit_from).select("page_id", "url", "payload", "response_id").mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SEPARATOR).text(path)
+    framed.select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SEPARATOR).option("maxRecordsPerFile", lines).text(path)
 
 
 FIELDS = pa.schema(
@@ -220,7 +235,7 @@ FIELDS = pa.schema(
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of every archive; a damaged archive fails the job with an ArchiveError.
 
-    An archive is read as one row, so it has to fit a task: write them from partitions of that size.
+    An archive is read as one row, so it has to fit a task: ``write_archives`` bounds them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

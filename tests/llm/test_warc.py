@@ -42,6 +42,29 @@ def test_round_trip(spark, tmp_path, least, hot, monkeypatch):
     assert len(records) == len(rows)
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    rows = [(k, "http://x/", hashlib.sha512(bytes([k % 256])).hexdigest() * (37 * k % 5)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = str(tmp_path / "a")
+    warc.write_archives(frame, path, lines=40, most_bytes=6_000)
+    parts = [open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*"))]
+    records = [list(warc.frames(memoryview(p))) for p in parts]
+    assert sum(map(len, records)) == 300 and len(parts) > 300 / 40 and max(map(len, records)) < 40
+    assert all(p.startswith(warc.skippable(warc.SAMPLE)) for p in parts if p)
+    assert any(len(r) < 39 for r in records[:-1])  # full by its bytes
+    assert max(map(len, parts)) < 6_000 + 40 * 8 + 2_000
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == [(k, h) for k, _, h in rows]
+
+
+def test_long_payloads(spark, tmp_path):
+    rows = [(1, "http://x/", "y" * 5_000_000), (2, "http://x/", " " * 5_000_000), (3, "http://x/", "y" * 5_000_000)]
+    path = str(tmp_path / "a")
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path, most_bytes=100)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()}
+    assert got == {1: (5_000_000, "revisit", 3), 2: (5_000_000, "response", None), 3: (5_000_000, "response", None)}
+
+
 def test_empty_table(spark, tmp_path):
     frame = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_archives(frame, str(tmp_path / "a"))
