@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, near_copies, quality, substring_dedup
-from scriptorium.llm.common import restored, shared_folder, table
+from scriptorium.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from scriptorium.llm.common import removed, restored, shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id. Groups are of near copies by five-word shingles (Jaccard similarity >= 0.8)."""
-    found = near_copies.near_copies(docs)
+    """Keep one document of each group: the one with the smallest doc_id. Groups come from SimHash fingerprints of five-word shingles, links of a Jaccard similarity of 0.8 or more.
+
+    Of rows that share a doc_id the least one stays, by the text and then the other columns in order.
+    """
+    found = simhash.similar(docs)
     copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("_row"))
+    first = named.select(*(F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns))
+    return first.unionByName(kept.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)  # nothing reads a stage after the next one is written
+        docs, before = spark.read.parquet(path), path
     return docs
