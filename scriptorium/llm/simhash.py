@@ -224,8 +224,11 @@ def _linking(words: list[str], distance: int):
             order = np.lexsort((*(gray_rank(bits[:, k]) for k in reversed(range(len(words)))), route))
             to = forest(route[order], bits[order], distance)
             ids = first[order]
-            apart = to != np.arange(len(to))
-            return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[to[apart]])], names=["a", "b"])
+            # to the least id of what is connected: other routes link the same documents to the same one, which makes one link of theirs
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, to, ids)
+            apart = ids != least[to]
+            return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(least[to[apart]])], names=["a", "b"])
 
         for batch in batches:  # ascending routes: all but the last one are complete
             held.append(batch)
