@@ -15,7 +15,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shared_edited", "n_anchors", "kept_in_place")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,24 @@
 """Operator 1 [native]: document fingerprints from closed syncmers, in DataFrame functions only.
 
 Pieces are runs of non-space characters, hashed. A run of more than ``PIECE`` characters (unspaced scripts,
-encoded data, minified code) is cut where the characters around a place say so (a hash of four of them, one place
-in ``CUT``), so that cuts don't depend on the offset in the run; only a stretch without such a place is
-cut every PIECE characters from the cut before it, and the next place ends that. A window of
-``K`` pieces is a closed syncmer if the least of its inner pieces (S = 1) lies at its first or
-last place. Whether it is one depends on the window alone, so an edit changes the anchors of the pieces that
-it touches (in a long run, up to the next cut by content), and equal passages carry the same anchors at a constant offset. A text without a
-closed syncmer (fewer than K pieces, or K with the least in the middle) has one anchor of all its pieces.
-
-The fingerprint is the sorted list of the ``SKETCH`` least distinct anchor hashes, in hex. The
-likeness of two fingerprints estimates the Jaccard similarity of their anchor sets: of the
-SKETCH least hashes of both together, the share that both have.
+encoded data, minified code) gives all its overlapping grams of ``GRAM`` code points in their place. A window of
+``K`` pieces in a row is a k-mer (in a long run one of GRAM + K - 1 code points), its inner substrings are the pieces, and it is
+a closed syncmer if the least of them lies at its first or last place. Whether it is one depends on the window alone, not on where
+it lies in the text, so an edit changes the anchors of the windows that it touches and no others, and equal passages carry the
+same anchors at a constant offset. A text without a closed syncmer (fewer than K pieces, or K with the least in the middle) has one
+anchor of all its pieces.
+
+``anchors`` gives all anchors with their positions; ``shared`` and ``in_place`` compare two texts by all of them, the latter by
+position too. The fingerprint is a sketch of them: the sorted list of the ``SKETCH`` least distinct anchor hashes (their first 32
+bits), in hex. The likeness of two fingerprints estimates the Jaccard similarity J of the anchor sets: of the
+SKETCH least hashes of both together, the share that both have. Its standard error is sqrt(J (1 - J) / SKETCH), at most 0.044; texts
+of fewer anchors than that are compared exactly. It doesn't see order, nor an edit that touches none of the least hashes;
+``shared`` does.
 
 Cases: null is taken as an empty text, and an empty or blank text has the empty fingerprint; two
 empty fingerprints have likeness 1, an empty one and another 0. Equal texts have equal
-fingerprints. Texts are never cut. Columns other than doc_id and text are ignored.
+fingerprints. Texts are never cut; a text's anchors are held in a task, which takes about 100 bytes of heap for each of its words, and
+250 for each character of a run that gives grams. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,48 +31,32 @@ from .common import checkpointed, with_long_id
 
 K = 3
 PIECE = 16
+GRAM = 8
 SKETCH = 128
-#: In a long run one place in so many is a cut.
-CUT = 8
 #: Hex digits of an anchor in a fingerprint.
 WIDTH = 8
-PIECES = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
 RUN, LONG = r"[^\x20\x09-\x0D]+", rf"[^\x20\x09-\x0D]{{{PIECE + 1}}}"
-#: Ranges of doc_id in which a document looks for the next one by a window.
-RANGES = 512
+#: Documents of a range of doc_id in which a document looks for the next one by a window, and the ranges at the least.
+RANGE, RANGES = 1_000_000, 512
 
 
-def _cut(run: Column) -> Column:
-    """A run with a space at its cuts. Repeated characters are never parted, as all places between them are alike."""
-
-    def place(chars: Column, c: Column, i: Column) -> Column:
-        after = F.get(chars, i + 1)
-        cut = (c != after) & (F.pmod(F.xxhash64(F.get(chars, i - 1), c, after, F.get(chars, i + 2)), F.lit(CUT)) == 0)
-        return F.when(cut, F.concat(c, F.lit(" "))).otherwise(c)
-
+def _grams(run: Column) -> Column:
+    """The hashes of a run's overlapping grams."""
     # an array of one array: its lambda's variable stands for the characters, which are computed once
-    return F.transform(F.array(F.split(run, "")), lambda chars: F.array_join(F.transform(chars, lambda c, i: place(chars, c, i)), ""))[0]
+    each = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - GRAM), lambda i: F.xxhash64(*(F.get(chars, i + k) for k in range(GRAM))))
+    return F.transform(F.array(F.split(run, "")), each)[0]
 
 
 def piece_hashes(text: Column) -> Column:
     """The hash of every piece, in order."""
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    parted = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) > PIECE, _cut(r)).otherwise(r)), " ")
-    pieces = F.regexp_extract_all(F.when(text.rlike(LONG), parted).otherwise(text), F.lit(PIECES), F.lit(0))
-    return F.transform(pieces, lambda p: F.xxhash64(p))
-
-
-def _windows(hashes: Column) -> Column:
-    """Every K hashes in a row, as structs with their place; empty if there are fewer."""
-    count = F.greatest(F.size(hashes) - K + 1, F.lit(0))
-    return F.arrays_zip(
-        F.slice(hashes, F.lit(1), count).alias("a"), F.slice(hashes, F.lit(2), count).alias("b"), F.slice(hashes, F.lit(3), count).alias("c")
-    )
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > PIECE, _grams(r)).otherwise(F.array(F.xxhash64(r)))))
+    return F.when(text.rlike(LONG), mixed).otherwise(F.transform(runs, lambda r: F.xxhash64(r)))
 
 
-def _closed(w: Column) -> Column:
+def _closed(a: Column, b: Column, c: Column) -> Column:
     """The middle isn't the only least: with ties the leftmost place counts, so a tie with the last leaves the middle."""
-    return (w["a"] <= w["b"]) | (w["c"] < w["b"])
+    return (a <= b) | (c < b)
 
 
 def _unselected(hashes: Column) -> Column:
@@ -80,27 +67,45 @@ def _unselected(hashes: Column) -> Column:
 
 def anchors(hashes: Column) -> Column:
     """array<struct<position, hash>> of the syncmers; positions count pieces from 0."""
-    windows = F.transform(_windows(hashes), lambda w, i: F.struct(i.alias("position"), F.xxhash64(w["a"], w["b"], w["c"]).alias("hash"), _closed(w).alias("closed")))
-    found = F.transform(F.filter(windows, lambda w: w["closed"]), lambda w: F.struct(w["position"].alias("position"), w["hash"].alias("hash")))
+
+    def anchor(i: Column) -> Column:
+        own = [F.get(hashes, i + k) for k in range(K)]
+        return F.when(_closed(*own), F.struct(i.alias("position"), F.xxhash64(*own).alias("hash")))
+
+    count = F.size(hashes) - K + 1
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(hashes).alias("hash")))
-    return F.when(_unselected(hashes), whole).otherwise(found)
+    return F.when(_unselected(hashes), whole).otherwise(F.filter(F.transform(places, anchor), lambda a: a.isNotNull()))
+
+
+def _hashes(found: Column) -> Column:
+    return F.transform(found, lambda a: a["hash"])
+
+
+def shared(x: Column, y: Column) -> Column:
+    """The Jaccard similarity of all anchors of two texts; of two without any 1."""
+    a, b = _hashes(x), _hashes(y)
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def _anchor_hashes(hashes: Column) -> Column:
-    """The first 32 bits of the anchors' hashes: not negative, so that their hex forms sort as they do."""
-    short = lambda h: F.shiftrightunsigned(h, 32)
-    found = F.transform(F.filter(_windows(hashes), _closed), lambda w: short(F.xxhash64(w["a"], w["b"], w["c"])))
-    return F.when(_unselected(hashes), F.array(short(F.xxhash64(hashes)))).otherwise(found)
+def in_place(x: Column, y: Column) -> Column:
+    """How many anchors two texts have in common at the same positions."""
+    placed = lambda found: F.transform(found, lambda a: F.xxhash64(a["position"], a["hash"]))
+    return F.size(F.array_intersect(placed(x), placed(y))).cast("long")
 
 
-def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the fingerprint of a column as a string. Steps are columns of their own, so that each is computed once."""
-    step, least = f"_{name}_hashes", f"_{name}_least"
+def with_fingerprint(frame: DataFrame, text: str, name: str, found: str | None = None) -> DataFrame:
+    """Add the fingerprint of a column as a string, and its anchors if a name is given for them. Steps are columns of their own, so that each is computed once."""
+    step, all_of, least = f"_{name}_hashes", found or f"_{name}_found", f"_{name}_least"
+    # not negative, so that hex forms sort as the numbers do
+    short = lambda a: F.shiftrightunsigned(a["hash"], 32)
     return (
         frame.withColumn(step, piece_hashes(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn(least, F.slice(F.array_sort(F.array_distinct(_anchor_hashes(F.col(step)))), 1, SKETCH))
+        .withColumn(all_of, anchors(F.col(step)))
+        .withColumn(least, F.slice(F.array_sort(F.array_distinct(F.transform(all_of, short))), 1, SKETCH))
         .withColumn(name, F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), WIDTH, "0")), ""))
-        .drop(step, least)
+        .drop(step, least, *([] if found else [all_of]))
     )
 
 
@@ -116,14 +121,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(shared / F.greatest(F.size(union), F.lit(1)))
 
 
-def following(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def following(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, next_id, previous_id, previous_chars): neighbours by ascending doc_id, in a circle.
 
     Windows run inside ranges of doc_id between approximate quantiles; only the ends of the
-    ranges (at most ``ranges`` + 1 rows) meet in one task. Repeated ids count once, by their longest text.
+    ranges (at most ``ranges`` + 1 rows; a range has about RANGE documents, whatever the size) meet in one task. Repeated ids count once, by their longest text.
     """
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    ranges = ranges or max(RANGES, docs.count() // RANGE)
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
     ids = ids.withColumn("part", part)
@@ -146,7 +152,7 @@ def following(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of whole texts and of edited ones, with their likeness.
+    """Fingerprints of whole texts and of edited ones, with their likeness; shared_edited and kept_in_place by all anchors of both.
 
     The edited text: the last floor(n_chars / 4) code points give way to the first as many (or
     all) of the next document by ascending doc_id, the first one after the last. A row without
@@ -159,25 +165,29 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select(with_long_id(docs), F.coalesce("text", F.lit("")).alias("text"))
     # the same non-null rows on both sides, or else the two would not share their exchange
-    prints = with_fingerprint(whole.where("doc_id is not null"), "text", "fingerprint")
+    prints = with_fingerprint(whole.where("doc_id is not null"), "text", "fingerprint", "anchors")
     placed = prints.join(checkpointed(following(docs.select(with_long_id(docs), "text"))).hint("merge"), "doc_id")
     heads = (
         placed.select(F.col("previous_id").alias("to_id"), F.struct(F.expr("left(text, previous_chars div 4)").alias("head"), F.col("fingerprint").alias("print")).alias("x"))
         .groupBy("to_id")
         .agg(F.min("x").alias("x"))
     )
-    joined = placed.join(heads, placed.doc_id == heads.to_id, "left").select("doc_id", "text", "fingerprint", "x.head", "x.print")
-    unnamed = with_fingerprint(whole.where("doc_id is null"), "text", "fingerprint").select("*", F.lit("").alias("head"), F.lit("").alias("print"))
+    joined = placed.join(heads, placed.doc_id == heads.to_id, "left").select("doc_id", "text", "anchors", "fingerprint", "x.head", "x.print")
+    unnamed = with_fingerprint(whole.where("doc_id is null"), "text", "fingerprint", "anchors").select("doc_id", "text", "anchors", "fingerprint", F.lit("").alias("head"), F.lit("").alias("print"))
     edited = joined.union(unnamed).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(head, cast(length(text) div 4 as int)))").alias("edited"),
+        "anchors",
         "fingerprint",
         F.col("print").alias("next_fingerprint"),
     )
     return (
-        with_fingerprint(edited, "edited", "edited_fingerprint")
+        with_fingerprint(edited, "edited", "edited_fingerprint", "edited_anchors")
         .withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
         .withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
-        .drop("next_fingerprint")
+        .withColumn("shared_edited", shared(F.col("anchors"), F.col("edited_anchors")))
+        .withColumn("n_anchors", F.size("anchors").cast("long"))
+        .withColumn("kept_in_place", in_place(F.col("anchors"), F.col("edited_anchors")))
+        .drop("next_fingerprint", "anchors", "edited_anchors")
     )
