@@ -165,23 +165,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select(with_long_id(docs), F.coalesce("text", F.lit("")).alias("text"))
     # the same non-null rows on both sides, or else the two would not share their exchange
-    prints = with_fingerprint(whole.where("doc_id is not null"), "text", "fingerprint", "anchors")
+    prints = with_fingerprint(whole.where("doc_id is not null"), "text", "fingerprint")
     placed = prints.join(checkpointed(following(docs.select(with_long_id(docs), "text"))).hint("merge"), "doc_id")
     heads = (
         placed.select(F.col("previous_id").alias("to_id"), F.struct(F.expr("left(text, previous_chars div 4)").alias("head"), F.col("fingerprint").alias("print")).alias("x"))
         .groupBy("to_id")
         .agg(F.min("x").alias("x"))
     )
-    joined = placed.join(heads, placed.doc_id == heads.to_id, "left").select("doc_id", "text", "anchors", "fingerprint", "x.head", "x.print")
-    unnamed = with_fingerprint(whole.where("doc_id is null"), "text", "fingerprint", "anchors").select("doc_id", "text", "anchors", "fingerprint", F.lit("").alias("head"), F.lit("").alias("print"))
+    joined = placed.join(heads, placed.doc_id == heads.to_id, "left").select("doc_id", "text", "fingerprint", "x.head", "x.print")
+    unnamed = with_fingerprint(whole.where("doc_id is null"), "text", "fingerprint").select("*", F.lit("").alias("head"), F.lit("").alias("print"))
     edited = joined.union(unnamed).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(head, cast(length(text) div 4 as int)))").alias("edited"),
-        "anchors",
         "fingerprint",
         F.col("print").alias("next_fingerprint"),
-    )
+        # made again from the text, as all anchors of a text are larger than the text to move
+        piece_hashes(F.col("text")).alias("_hashes"),
+    ).withColumn("anchors", anchors(F.col("_hashes"))).drop("_hashes")
     return (
         with_fingerprint(edited, "edited", "edited_fingerprint", "edited_anchors")
         .withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
