@@ -76,7 +76,8 @@ def correct_field(name: Column, raw: Column) -> Column:
     out = raw
     for parts, rule in reversed(RULES):
         out = F.when(has_part(name, parts), rule(raw)).otherwise(out)
-    return F.when((out == raw) & ~name.isin(*UNTRIMMED), strip(raw)).otherwise(out)
+    # an array of one value: its lambda's variable stands for the rules' result, which is made once
+    return F.transform(F.array(out), lambda fixed: F.when((fixed == raw) & ~name.isin(*UNTRIMMED), strip(raw)).otherwise(fixed))[0]
 
 
 def correct_all(fields: DataFrame, name: str = "field_name", raw: str = "raw") -> DataFrame:

@@ -17,14 +17,14 @@ from scriptorium.functions.text import lines, strip
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"(\+?[0-9][0-9\s\-]{8,14}[0-9]|[6-9][0-9]{9})"
 LINKEDIN = r"(?i)linkedin\.com/in/[\p{L}\p{N}_\-]+"
-RANGE = r"(?i)([a-z]{3,}\s+[0-9]{4})\s*[-\u2013]\s*([a-z]{3,}\s+[0-9]{4}|present|current)"
+RANGE = r"(?i)([a-z]{3,}\s+[0-9]{4})\s*[-–]\s*([a-z]{3,}\s+[0-9]{4}|present|current)"
 TITLE = r"(?i)\b(engineer|manager|developer|designer|analyst|consultant)\b"
 SKILLS = r"(?i)^(skills|technical skills)"
 AFTER_SKILLS = r"(?i)^(experience|education|projects|work history)"
 EDUCATION = r"(?i)^education"
-NAME_LABEL = r"(?i)(?:name|\u0928\u093e\u092e)\s*[:\-]?\s*(.+)"
-DOB_LABEL = r"(?i)(?:dob|date of birth|\u091c\u0928\u094d\u092e \u0924\u093f\u0925\u093f)\s*[:\-]?\s*([0-9]{2}/[0-9]{2}/[0-9]{4})"
-GENDER_LABEL = r"(?i)(?:gender|\u0932\u093f\u0902\u0917)\s*[:\-]?\s*(male|female|transgender|\u092a\u0941\u0930\u0941\u0937|\u092e\u0939\u093f\u0932\u093e)"
+NAME_LABEL = r"(?i)(?:name|नाम)\s*[:\-]?\s*(.+)"
+DOB_LABEL = r"(?i)(?:dob|date of birth|जन्म तिथि)\s*[:\-]?\s*([0-9]{2}/[0-9]{2}/[0-9]{4})"
+GENDER_LABEL = r"(?i)(?:gender|लिंग)\s*[:\-]?\s*(male|female|transgender|पुरुष|महिला)"
 UID = r"([0-9]{4}\s[0-9]{4}\s[0-9]{4})"
 PAN = r"[A-Z]{5}[0-9]{4}[A-Z]"
 

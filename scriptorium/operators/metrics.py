@@ -8,22 +8,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.distance import cer, wer
+from scriptorium.functions.distance import cer, normal_cer, normal_wer, wer
 from scriptorium.functions.text import normalise
 
 
 def field_accuracy(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row per true field: exact, cer, wer, missing. A missing field has rates of 1; extra predictions count for nothing."""
-    found = predictions.select("id", "field_name", F.col("value").alias("_p"))
-    joined = truth.select("id", "ord", "field_name", F.col("value").alias("_g")).join(found, ["id", "field_name"], "left")
+    found = predictions.select("id", "field_name", normalise(F.col("value")).alias("_p"))
+    joined = truth.select("id", "ord", "field_name", normalise(F.col("value")).alias("_g")).join(found, ["id", "field_name"], "left")
     missing, p, g = F.col("_p").isNull(), F.col("_p"), F.col("_g")
+    exact = p == g
     return joined.select(
         "id", "ord", "field_name",
-        F.when(missing, False).otherwise(normalise(p) == normalise(g)).alias("exact_match"),
-        F.when(missing, 1.0).otherwise(cer(p, g)).alias("cer"),
-        F.when(missing, 1.0).otherwise(wer(p, g)).alias("wer"),
-        F.when(missing, "").otherwise(normalise(p)).alias("pred"),
-        normalise(g).alias("gt"),
+        F.when(missing, False).otherwise(exact).alias("exact_match"),
+        F.when(missing, 1.0).when(exact, 0.0).otherwise(normal_cer(p, g)).alias("cer"),
+        F.when(missing, 1.0).when(exact, 0.0).otherwise(normal_wer(p, g)).alias("wer"),
+        F.when(missing, "").otherwise(p).alias("pred"),
+        g.alias("gt"),
         missing.alias("missing"),
     )
 
@@ -46,16 +47,13 @@ def band(exact_rate: Column) -> Column:
 
 def correction_delta(truth: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """What correction did to each true field; missing values count as empty ones. The flags use rates before rounding."""
-    pre, post = (t.select("id", "field_name", F.col("value").alias(c)) for t, c in ((before, "_pre"), (after, "_post")))
-    joined = truth.join(pre, ["id", "field_name"], "left").join(post, ["id", "field_name"], "left")
-    g, a, b = F.col("value"), F.coalesce("_pre", F.lit("")), F.coalesce("_post", F.lit(""))
+    pre, post = (t.select("id", "field_name", normalise(F.col("value")).alias(c)) for t, c in ((before, "_a"), (after, "_b")))
+    own = truth.select("id", "ord", "field_name", normalise(F.col("value")).alias("_g"))
+    joined = own.join(pre, ["id", "field_name"], "left").join(post, ["id", "field_name"], "left").fillna("", ["_a", "_b"])
+    g, a, b = F.col("_g"), F.col("_a"), F.col("_b")
     delta = F.col("_post_cer") - F.col("_pre_cer")
     return (
-        joined.select(
-            "id", "ord", "field_name",
-            (normalise(a) == normalise(g)).alias("pre_exact"), (normalise(b) == normalise(g)).alias("post_exact"),
-            cer(a, g).alias("_pre_cer"), cer(b, g).alias("_post_cer"),
-        )
+        joined.select("id", "ord", "field_name", (a == g).alias("pre_exact"), (b == g).alias("post_exact"), normal_cer(a, g).alias("_pre_cer"), normal_cer(b, g).alias("_post_cer"))
         .withColumns({
             "pre_cer": F.round("_pre_cer", 4), "post_cer": F.round("_post_cer", 4), "cer_delta": F.round(delta, 4),
             "improved": delta < -1e-9, "degraded": delta > 1e-9, "unchanged": F.abs(delta) < 1e-9,
@@ -102,23 +100,34 @@ def aligned_pairs(pairs: DataFrame, raw: str = "raw", truth: str = "gt") -> Data
 
 
 def substitutions(p: str, g: str) -> list[tuple[str, str]]:
-    """Replaced characters of a shortest edit script, found from the end: keep or replace first, then drop, then add."""
-    rows = [list(range(len(g) + 1))]
-    for i, x in enumerate(p, 1):
-        row = [i]
-        for j, y in enumerate(g, 1):
-            row.append(min(rows[-1][j - 1] + (x != y), rows[-1][j] + 1, row[-1] + 1))
+    """Replaced characters of a shortest edit script, the one that the rapidfuzz library picks among several.
+
+    Common ends are left out first. Then from the last characters on: drop the prediction's character wherever that is one
+    step less far; else add the truth's, if going on without it is farther for the shorter prediction; else keep or replace.
+    """
+    a, least = 0, min(len(p), len(g))
+    while a < least and p[a] == g[a]:
+        a += 1
+    b = 0
+    while b < least - a and p[-1 - b] == g[-1 - b]:
+        b += 1
+    p, g = p[a : len(p) - b], g[a : len(g) - b]
+    rows = [list(range(len(p) + 1))]  # rows[j][i]: from p[:i] to g[:j]
+    for j, y in enumerate(g, 1):
+        above, row = rows[-1], [j]
+        for i, x in enumerate(p, 1):
+            row.append(min(above[i - 1] + (x != y), above[i] + 1, row[-1] + 1))
         rows.append(row)
     i, j, out = len(p), len(g), []
     while i and j:
-        if rows[i][j] == rows[i - 1][j - 1] + (p[i - 1] != g[j - 1]):
+        if rows[j][i] == rows[j][i - 1] + 1:
+            i -= 1
+        elif j > 1 and rows[j - 1][i] == rows[j - 1][i - 1] - 1:
+            j -= 1
+        else:
             i, j = i - 1, j - 1
             if p[i] != g[j]:
                 out.append((p[i], g[j]))
-        elif rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
-        else:
-            j -= 1
     return out[::-1]
 
 

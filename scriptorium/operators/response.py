@@ -34,11 +34,10 @@ def shown_fields(routed: DataFrame) -> DataFrame:
     return routed.withColumns({"shown": name, "value": masked("value"), "raw_ocr_value": masked("raw_ocr_value")}).where(is_shown(F.col("doc_type"), F.col("shown")))
 
 
-def rollup(routed: DataFrame) -> DataFrame:
-    """Counts, mean confidence and validity of each document. The checksum is that of its last uid or pan_number, null without one."""
+def _totals() -> list[Column]:
     checked = F.col("field_name").isin("uid", "pan_number")
     count = lambda c: F.sum(c.cast("int"))
-    return routed.groupBy("id", "doc_type").agg(
+    return [
         F.count("field_name").alias("n_fields"),
         count(F.col("was_corrected")).alias("correction_count"),
         count(F.col("status") == "escalate").alias("escalation_count"),
@@ -46,7 +45,12 @@ def rollup(routed: DataFrame) -> DataFrame:
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("overall_confidence"),
         F.coalesce(F.every("is_valid"), F.lit(False)).alias("all_fields_valid"),
         F.max_by(F.when(checked, F.col("is_valid")), F.when(checked, F.col("ord"))).alias("checksum_passed"),
-    )
+    ]
+
+
+def rollup(routed: DataFrame) -> DataFrame:
+    """Counts, mean confidence and validity of each document. The checksum is that of its last uid or pan_number, null without one."""
+    return routed.groupBy("id", "doc_type").agg(*_totals())
 
 
 def flags(routed: DataFrame) -> DataFrame:
@@ -55,12 +59,16 @@ def flags(routed: DataFrame) -> DataFrame:
 
 
 def responses(routed: DataFrame) -> DataFrame:
-    """One nested row for each document."""
-    value = F.struct("value", "confidence", "status", "flag_reason", "raw_ocr_value", "was_corrected")
-    fields = shown_fields(routed).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("shown", value.alias("v"))))).alias("fields"))
-    problem = F.struct("ord", "field_name", "flag_reason", "confidence")
-    listed = routed.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("status") != "accept", problem))), lambda p: p.dropFields("ord")).alias("flags"),
+    """One nested row for each document, from one aggregate over its fields; without any shown field, fields is null."""
+    name, hide = shown_name(F.col("field_name")), F.lower(shown_name(F.col("field_name"))).contains("uid")
+    masked = lambda c: F.when(hide, mask_uid(F.col(c))).otherwise(F.col(c)).alias(c)
+    value = F.struct(masked("value"), "confidence", "status", "flag_reason", masked("raw_ocr_value"), "was_corrected")
+    shown = F.when(is_shown(F.col("doc_type"), name), F.struct(name.alias("shown"), value.alias("v")))
+    problem = F.when(F.col("status") != "accept", F.struct("ord", "field_name", "flag_reason", "confidence"))
+    own = routed.groupBy("id", "doc_type").agg(
+        *_totals(),
+        F.transform(F.array_sort(F.collect_list(problem)), lambda p: p.dropFields("ord")).alias("flags"),
         F.map_from_entries(F.collect_list(F.struct("field_name", F.struct("is_valid", "error_message").alias("v")))).alias("per_field"),
+        F.array_sort(F.collect_list(shown)).alias("_shown"),
     )
-    return rollup(routed).join(listed, "id").join(fields, "id", "left")
+    return own.withColumn("fields", F.when(F.size("_shown") > 0, F.map_from_entries("_shown"))).drop("_shown")

@@ -10,7 +10,7 @@ from scriptorium.functions.checksum import INVERSE, PERMUTED, PRODUCT
 from scriptorium.operators import extract as e
 from scriptorium.operators import response as r
 from scriptorium.operators import spatial as sp
-from scriptorium.operators.imaging import AUGMENTATIONS
+from scriptorium.operators.imaging import AUGMENTATIONS, DEFAULTS
 from scriptorium.plans.fixtures import IFSC_CODES, PIN_CODES
 from scriptorium.queries import BOXES
 
@@ -259,7 +259,9 @@ _GAIN = """gain as (select field_name, count(*) as n, round(avg(pre_exact::int),
   round(avg(post_exact::int) - avg(pre_exact::int), 4) as exact_delta, round(avg(cer_delta), 4) as mean_cer_delta, round(avg(improved::int), 4) as improved_rate, round(avg(degraded::int), 4) as degraded_rate from delta group by field_name)"""
 ORACLES["correction_delta"] = over_fields("select * from delta", _DELTA)
 ORACLES["correction_delta_summary"] = over_fields("select *, case when exact_delta * 100 > 0.5 then '▲' when exact_delta * 100 < -0.5 then '▼' else ' ' end as arrow from gain", f"{_DELTA}, {_GAIN}")
-ORACLES["correction_regressions"] = over_fields("select field_name, degraded_rate from gain where degraded_rate > 0.01", f"{_DELTA}, {_GAIN}")
+_NUMBERED = "numbered as (select id, ord, field_name, case when field_name = 'name' and k % 3 = 0 then gt || ' ' || (k % 10)::varchar else gt end as gt from fields)"
+_KEPT = _DELTA.replace("case when present then raw else '' end", "gt").replace(f"case when present then {trimmed_field('field_name', 'raw')} else '' end", trimmed_field("field_name", "gt")).replace("from fields)", "from numbered)")
+ORACLES["correction_regressions"] = over_fields("select field_name, degraded_rate from gain where degraded_rate > 0.01", f"{_NUMBERED}, {_KEPT}, {_GAIN}")
 ORACLES["global_error_rates"] = over_fields(
     f"select count(*) as n, round(avg({cer('p', 'g')}), 6) as mean_cer, round(avg({wer('p', 'g')}), 6) as mean_wer from q",
     "q as (select gt as g, case when present then raw else '' end as p from fields)",
@@ -269,6 +271,23 @@ _ALIGNED = """aligned as (select pred, gt, count(*) as n from (
   select substr(raw, i::int, 1) as pred, substr(gt, i::int, 1) as gt from (select raw, gt, unnest(range(1, length(raw) + 1)) as i from fields where length(raw) = length(gt) and length(raw) > 0))
   where pred <> gt group by pred, gt)"""
 ORACLES["confusion_pairs_aligned"] = over_fields("select * from aligned", _ALIGNED)
+# the library's script: common ends off, then from the last characters on drop, add, or keep and replace; i and j count what is left of p and g
+_FAR = "levenshtein(left(p, {i}), left(g, {j}))"
+_DROP = f"{_FAR.format(i='i', j='j')} = {_FAR.format(i='i - 1', j='j')} + 1"
+_ADD = f"j > 1 and {_FAR.format(i='i', j='j - 1')} = {_FAR.format(i='i - 1', j='j - 1')} - 1"
+ORACLES["confusion_pairs_editops"] = over_fields(
+    "select a as pred, b as gt, sum(times)::bigint as n from steps where a is not null group by a, b",
+    f"""texts as (select {norm('raw')} as p, {norm('gt')} as g, count(*) as times from fields group by 1, 2),
+ends as (select p, g, times, coalesce(list_max(list_filter(range(1, least(length(p), length(g)) + 1), lambda n: left(p, n::int) = left(g, n::int))), 0)::int as a from texts where p <> g),
+more as (select *, coalesce(list_max(list_filter(range(1, least(length(p), length(g)) - a + 1), lambda n: right(p, n::int) = right(g, n::int))), 0)::int as b from ends),
+cut as (select substr(p, a + 1, length(p) - a - b) as p, substr(g, a + 1, length(g) - a - b) as g, times from more),
+steps as (with recursive walk as (
+  select p, g, times, length(p)::int as i, length(g)::int as j, null::varchar as a, null::varchar as b from cut
+  union all
+  select p, g, times, case when {_DROP} then i - 1 when {_ADD} then i else i - 1 end::int, case when {_DROP} then j else j - 1 end::int,
+    case when not ({_DROP}) and not ({_ADD}) and substr(p, i, 1) <> substr(g, j, 1) then substr(p, i, 1) end, case when not ({_DROP}) and not ({_ADD}) and substr(p, i, 1) <> substr(g, j, 1) then substr(g, j, 1) end
+  from walk where i > 0 and j > 0) select * from walk)""",
+)
 ORACLES["top_confusions"] = over_fields("select pred, gt, n, repeat('█', floor(n / max(n) over () * 30)::int) as bar from top", f"{_ALIGNED}, top as (select * from aligned order by n desc, pred, gt limit 20)")
 
 _IDS = "g as (select distinct id from fields), p as (select distinct id from fields where present union select 'x' || k::varchar from fields where k % 17 = 0)"
@@ -356,13 +375,13 @@ ORACLES["doc_classify"] = f"""with {CARDS}, {CVS}, texts as (select 'd' || doc_i
 
 
 def found_in(table: str, key: str, column: str, pattern: str) -> str:
-    return f"with f as (select {key}, regexp_extract({column}, {text(pattern)}) as found from {table}) select {key}, found from f where found <> ''"
+    return f"with f as (select {key}, regexp_extract({column}, {text(pattern)}) as found from {table}) select {key}, coalesce(found, '') as found from f"
 
 
 ORACLES["extract_email"] = found_in("documents", "doc_id", "text", e.EMAIL)
 ORACLES["extract_phone"] = found_in("documents", "doc_id", "text", _RE2_PHONE)
 ORACLES["extract_phone_pages"] = found_in("pages", "page_id", "html", _RE2_PHONE)
-ORACLES["extract_uid_like"] = found_in("documents", "doc_id", "text", e.UID)
+ORACLES["extract_uid_like"] = f"with {CARDS} select k, regexp_extract(text, {text(e.UID)}) as found from cards"
 
 # lines of a CV, numbered; the first skills header opens the block, the next section closes it
 _CV_PARTS = r"""
@@ -373,7 +392,7 @@ got as (select id, text, coalesce(l[1], '') as name, coalesce(list_filter(l[1:10
   array_to_string(list_filter(list_transform(regexp_split_to_array(array_to_string(list_filter(l[s + 1:s + stop - 1], lambda x: not regexp_matches(x, '(?i)^(skills|technical skills)')), ' '), '[,|]'), lambda x: trim(x)), lambda x: x <> ''), ', ') as skills,
   case when d > 0 then coalesce(list_filter(l[d:], lambda x: not regexp_matches(x, '(?i)^education'))[1], '') else '' end as education from cut),
 """
-_RE2_RANGE = e.RANGE.replace("\\u2013", "\u2013")
+_RE2_RANGE = e.RANGE
 _CV_FOUND = f"""wide as (select id, name, regexp_extract(text, {text(e.EMAIL)}) as email, regexp_extract(text, {text(_RE2_PHONE)}) as phone, regexp_extract(text, '(?i)linkedin\\.com/in/[\\pL\\pN_\\-]+') as linkedin,
   len(regexp_extract_all(text, {text(_RE2_RANGE)}))::varchar as total_experience_years, current_title, skills, education from got)"""
 _LACKS = ", ".join(f"case when {f} = '{0 if f == 'total_experience_years' else ''}' then '{f} missing' end" for f in e.CV_FIELDS)
@@ -455,9 +474,9 @@ select k, replace(number, ' ', '') as aadhaar_number, regexp_extract(text, '(?i)
   {title("replace(regexp_extract(text, '(?i)(MALE|FEMALE|TRANSGENDER|M a l e|F e m a l e)', 1), ' ', '')")} as gender,
   trim(regexp_extract(text, {text(_RE2_ADDRESS)}, 1) || regexp_extract(text, {text(_RE2_ADDRESS)}, 2)) as address, regexp_extract(text, {text(_RE2_ADDRESS)}, 2) as pincode from rest"""
 
-_MATCHES = """own as (select vec_id, embedding::double[] as e from embeddings), stored as (select vec_id as key, e from own where vec_id < 400 and (vec_id % 20 + 81) / 100.0 >= 0.95),
-sims as (select q.vec_id as query_id, key, list_inner_product(q.e, s.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(s.e, s.e))) as s from own q, stored s where q.vec_id >= 400),
-best as (select query_id, key, s, s >= 0.4 as hit from sims qualify row_number() over (partition by query_id order by s desc, key) = 1)"""
+_MATCHES = """own as (select vec_id, embedding::double[] as e from embeddings), stored as (select vec_id as key, e from own where (vec_id % 20 + 81) / 100.0 >= 0.95),
+sims as (select q.vec_id as query_id, key, list_inner_product(q.e, s.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(s.e, s.e))) as s from own q, stored s where q.vec_id <> key),
+best as (select query_id, key, s, s >= 0.4 as hit from sims qualify row_number() over (partition by query_id order by round(s, 12) desc, key) = 1)"""
 ORACLES["glyph_best_match"] = f"with {_MATCHES} select query_id, key, round(s, 4) as similarity, hit from best"
 ORACLES["glyph_cache_stats"] = f"with {_MATCHES} select count(*) filter (hit) as cache_hits, count(*) filter (not hit) as cache_misses, round(avg(hit::int), 6) as hit_rate from best"
 
@@ -470,7 +489,7 @@ ORACLES["feedback_apply_corrections"] = """select event_id as id, user_id % 2 =
   case when event_id % 2 = 0 and user_id % 2 = 0 and user_id % 3 <> 0 then event_id::varchar || '_FIXED' end as human_value from events"""
 ORACLES["suggested_subs"] = over_fields(
     "select kind, pred as raw_char, gt as human_char, n from kinds where kind is not null qualify row_number() over (partition by kind, pred order by n, gt desc) = 1",
-    _ALIGNED.replace("from fields where", "from fields where k % 4 in (0, 1) and") + ", kinds as (select *, case when regexp_matches(gt, '[0-9]') then 'digit' when regexp_matches(gt, '[a-zA-Z]') then 'alpha' end as kind from aligned where n >= 3)",
+    _ALIGNED + ", kinds as (select *, case when regexp_matches(gt, '[0-9]') then 'digit' when regexp_matches(gt, '[a-zA-Z]') then 'alpha' end as kind from aligned where n >= 3)",
 )
 ORACLES["annotation_flatten"] = """select 'cards/' || l_orderkey::varchar || '.jpg' as image_path, 'field' || (l_linenumber % 4)::varchar as field_name, round(l_quantity / 100, 6) as x, 0.05::double as h, l_returnflag as text_value, 'ocr' as extraction_method
 from lineitem where l_linenumber % 6 <> 0"""
@@ -495,3 +514,45 @@ ORACLES["augment_plan"] = f"""with v as (select doc_id, unnest([1, 2, 3])::int a
 select doc_id, variant, concat_ws(',', {_COINS}) as applied from s"""
 ORACLES["synthetic_cards"] = f"""with made as (select c_custkey as k from customer), m as (select k, {UID} as uid, {PAN} as pan, {DOB} as dob from made)
 select k, uid, pan, dob, {uid_error('uid')} = '' as uid_valid, {pan_error('pan')} = '' as pan_valid from m"""
+
+ORACLES["image_integrity"] = "select p_partkey as k, 'image/png' as mime, case when p_partkey % 5 <> 0 then 'corrupt_file' end as reject_reason from part"
+ORACLES["letterbox_pixels"] = """with s as (select s_suppkey::bigint as image_id, 20 + 37 * s_suppkey % 300 as w, 20 + 53 * s_suppkey % 200 as h from supplier),
+n as (select image_id, round_even(w * least(1012.0::double / w, 638.0::double / h), 0)::bigint * round_even(h * least(1012.0::double / w, 638.0::double / h), 0)::bigint as inside from s) select image_id, inside, 1012 * 638 - inside as frame from n"""
+ORACLES["warped_cards"] = "select s_suppkey::bigint as image_id, (40 + 7 * s_suppkey % 60)::int as width, (30 + 5 * s_suppkey % 40)::int as height, true as whole from supplier"
+ORACLES["found_boundaries"] = "select n_nationkey::bigint as image_id, n_nationkey % 5 <> 0 as found, n_nationkey % 5 <> 0 as near from nation"
+ORACLES["clean_up_pixels"] = """with s as (select n_nationkey::bigint as image_id, 20 + 8 * n_nationkey % 200 as v, case when n_nationkey % 2 = 1 then 300 * 400 / (638.0 * 1012) else 0 end as patch from nation)
+select image_id, concat_ws(',', case when v * (1 - patch) + 255 * patch not between 100 and 200 then 'clahe' end, case when patch > 0 then 'glare_removal' end) as steps, false as bright from s"""
+ORACLES["sharpened_spots"] = "with s as (select s_suppkey::bigint as image_id, 50 + 7 * s_suppkey % 150 as v from supplier) select image_id, least(255, v + 100)::int as spot, (v - 20)::int as beside, v::int as flat from s"
+ORACLES["template_colours"] = """with s as (select s_suppkey::bigint as image_id, s_suppkey % 4 as kind, (1 + s_suppkey % 40) / 40.0::double as share from supplier)
+select image_id, case when kind = 0 then round(share, 6) else 0.0 end as blue, case when kind = 1 then round(share, 6) else 0.0 end as cream, case when kind in (1, 2) then round(share, 6) else 0.0 end as white,
+  round(share * ([0.114 * 255 + 0.587 * 200 + 0.299 * 150, 0.114 * 225 + 0.587 * 245 + 0.299 * 255, 255.0, 0.0]::double[])[kind + 1], 6) as mean_luminance from s"""
+ORACLES["glyph_descriptors"] = """select s_suppkey::bigint as image_id, 1568::int as size, (case when s_suppkey % 4 = 3 then 0 else 196 end)::int as lit, case s_suppkey % 4 when 0 then 0 when 1 then 4 when 2 then 2 end::int as way,
+  case when s_suppkey % 4 = 3 then 0.0 else 4.0 end::double as strength from supplier"""
+ORACLES["augmented_pictures"] = f"""with v as (select n_nationkey::bigint as image_id, unnest([1, 2, 3])::int as variant from nation), s as (select image_id, variant, (image_id * 7919 + variant * 104729) % 1000003 as seed from v)
+select image_id, variant, concat_ws(',', {_COINS}) as applied, concat_ws(',', {_COINS}) as logged, (90 * 130 * 3)::int as size from s"""
+
+# -- files and streams ----------------------------------------------------------------------------
+
+ORACLES["documents_read"] = """with d as (select r_regionkey::int as k, (['%PDF-1.7 ', 'plain text ', '%PDF-'])[r_regionkey % 3 + 1] || r_name || repeat('x', 15 * r_regionkey::int) || '%%EOF' as c from region)
+select k, strlen(c)::bigint as size, case when strlen(c) <= 60 and c[1:4] = '%PDF' then 'application/pdf' end as mime, case when strlen(c) > 60 then 'file_size' when c[1:4] <> '%PDF' then 'unsupported_format' end as reject_reason,
+  case when strlen(c) <= 60 then lower(hex(c[1:8])) || ' (' || c[1:8] || ')' end as magic from d"""
+ORACLES["records_read"] = """select 'r' || (c_custkey % 40)::varchar as id, max(c_custkey)::varchar as n from customer where c_custkey % 7 <> 0 and c_custkey % 11 <> 0 and c_custkey % 13 <> 0 group by c_custkey % 40
+union all select 'broken', count(*)::varchar from customer where c_custkey % 7 <> 0 and (c_custkey % 11 = 0 or c_custkey % 13 = 0)"""
+ORACLES["coordinates_read"] = "select * from (values " + ", ".join(f"('{version}', '{f}', {values(b)})" for version, fields in BOXES.items() for f, b in fields.items()) + ") as b(version, field_name, x1, y1, x2, y2)"
+_SETTINGS = {"confidence_high": "0.92", "confidence_low": "0.7", "ocr_lang": "en"} | {k: str(x) for k, x in DEFAULTS.items()} | {"enable_deskew": "False", "clahe_tile_grid": "[4, 4]"}
+ORACLES["settings_read"] = "select * from (values " + ", ".join(f"('{k}', '{x}')" for k, x in _SETTINGS.items()) + ") as s(setting, value)"
+ORACLES["decisions_written"] = over_fields("select status, flag_reason, field_name, count(*) as n from routed where status <> 'accept' group by all", _ROUTED)
+ORACLES["truth_written"] = over_fields("select id, field_name, gt as value from fields")
+ORACLES["issues_streamed"] = """select case when user_id % 4 = 0 then 'text' else 'ocr' end as "table", (['accept', 'flag', 'escalate'])[(event_id % 3)::int + 1] as status, ts::date as date, count(*) as n from events where event_id % 3 <> 0 group by all"""
+ORACLES["push_payloads"] = """select event_id as id, '{"data":{"image":"/data/local-files/?d=crops/' || (event_id % 5)::varchar || '","predicted_text":"v' || event_id::varchar || '","field":"' || event_type ||
+  '"},"annotations":[{"result":[{"from_name":"transcription","to_name":"image","type":"textarea","value":{"text":["v' || event_id::varchar || '"]}}]}]}' as payload
+from events where user_id % 2 <> 0 and user_id % 3 <> 0 and ts < timestamp '2024-01-19 23:00:00'"""
+
+# -- compositions ---------------------------------------------------------------------------------
+
+ORACLES["evaluation_summary"] = over_fields(
+    "select field_name, count(*) as n, round(avg(exact_match::int), 6) as exact_match_rate, round(avg(cer), 6) as mean_cer, round(avg(wer), 6) as mean_wer, round(avg(missing::int), 6) as missing_rate from rated group by field_name",
+    f"{_JOINED.format(value='raw').replace('from fields f', 'from (select * from fields where id in (select id from fields where present)) f')}, {_RATED}",
+)
+ORACLES["card_numbers"] = rf"with {CARDS} select k, upper(regexp_extract(text, {text(sp.PAN_LIKE)}, 1)) as pan_number, regexp_extract(text, {text(sp.DATE)}, 1) as dob from cards where doc_type = 'pan'"
+ORACLES["region_texts"] = f"with {REGIONS} select doc_id as id, trim(string_agg(text, ' ' order by ord, text)) as name, '' as email, '0' as total_experience_years from regions group by doc_id"

@@ -20,7 +20,9 @@ def routed_fields(fields: DataFrame, today: datetime.date, ifsc: DataFrame | Non
     corrected and validated like the first.
     """
     first = validate_all(correct_all(fields), today, ifsc, pins)
-    again = first.withColumns({"retry_corrected": correct_field(F.col("field_name"), F.col("retry_raw"))})
+    # what reads the same is corrected the same
+    same = F.col("retry_raw") == F.col("raw")
+    again = first.withColumns({"retry_corrected": F.when(same, F.col("corrected")).otherwise(correct_field(F.col("field_name"), F.col("retry_raw")))})
     again = again.withColumn("retry_changed", F.col("retry_corrected") != F.col("retry_raw"))
     again = validate_all(again.withColumnsRenamed({"is_valid": "_valid", "error_message": "_error"}), today, ifsc, pins, value="retry_corrected")
     named = again.withColumnsRenamed({"is_valid": "retry_valid", "_valid": "is_valid"}).drop("error_message").withColumnRenamed("_error", "error_message")

@@ -134,3 +134,33 @@ def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.lit("NAME again")), F.lit("Date of Birth"), birth_date(k), F.when(k % 7 != 0, pan(k)),
     )
     return named.select("k", F.when(k % 2 == 0, "aadhaar").otherwise("pan").alias("doc_type"), F.when(k % 2 == 0, first).otherwise(second).alias("text"))
+
+
+def painted(table: DataFrame, key: str, paint) -> DataFrame:
+    """(image_id, content, h, w): an image for each row, painted from its key alone."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for k in batch["image_id"]:
+                x = paint(int(k))
+                yield pd.DataFrame([(k, x.tobytes(), x.shape[0], x.shape[1])], columns=["image_id", "content", "h", "w"])
+
+    return table.select(F.col(key).cast("long").alias("image_id")).mapInPandas(run, "image_id bigint, content binary, h int, w int")
+
+
+def png(k: Column) -> Column:
+    """A PNG of three chunks; by k whole, or with a wrong checksum, without an end, cut off, or of no width."""
+
+    def chunk(kind: str, data: Column, spoiled: Column) -> Column:
+        body = F.concat(F.hex(F.lit(kind.encode())), data)
+        crc = F.crc32(F.unhex(body)) + F.when(spoiled, 1).otherwise(0)
+        return F.concat(F.lpad(F.hex(F.length(data) / 2), 8, "0"), body, F.right(F.concat(F.lit("00000000"), F.hex(crc)), F.lit(8)))
+
+    width = F.when(k % 5 == 4, F.lit("00000000")).otherwise(F.lpad(F.hex(1 + k % 9), 8, "0"))
+    none = F.lit(False)
+    whole = F.concat(
+        F.lit("89504E470D0A1A0A"), chunk("IHDR", F.concat(width, F.lit("000000010802000000")), none), chunk("IDAT", F.hex(F.encode(k.cast("string"), "UTF-8")), k % 5 == 1),
+        F.when(k % 5 == 2, F.lit("")).otherwise(chunk("IEND", F.lit(""), none)),
+    )
+    return F.unhex(F.when(k % 5 == 3, F.left(whole, F.length(whole) - 4)).otherwise(whole))

@@ -10,6 +10,7 @@ import datetime
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,12 @@ from scriptorium.functions import correct, validate
 from scriptorium.functions.checksum import is_checked
 from scriptorium.functions.distance import cer, wer
 from scriptorium.functions.text import mask_uid
-from scriptorium.operators import documents, extract, imaging, metrics, response, routing, similarity, spatial
-from scriptorium.plans import fixtures
+from scriptorium.operators import documents, extract, imaging, metrics, pixels, response, routing, similarity, spatial
+from scriptorium.plans import evaluation, fixtures
 from scriptorium.plans.fields import routed_fields, text_layer_fields
 from scriptorium.plans.fixtures import read
 from scriptorium.sources import documents as sources
-from scriptorium.sources import records
+from scriptorium.sources import files, records
 from scriptorium.streaming import feedback
 
 TODAY = datetime.date(2024, 6, 1)
@@ -231,7 +232,12 @@ def correction_delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def correction_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.regressions(_gain(spark, sf_dir)).select("field_name", "degraded_rate")
+    """Fields as they were read right, of which some names hold a number that the rule for names takes out."""
+    numbered = F.when((F.col("field_name") == "name") & (F.col("k") % 3 == 0), F.concat("gt", F.lit(" "), (F.col("k") % 10).cast("string"))).otherwise(F.col("gt"))
+    fields = fixtures.fields_long(spark, sf_dir).withColumn("gt", numbered)
+    true = fixtures.truth(fields)
+    after = true.withColumn("value", correct.correct_field(F.col("field_name"), F.col("value")))
+    return metrics.regressions(metrics.correction_summary(metrics.correction_delta(true, true, after))).select("field_name", "degraded_rate")
 
 
 @query
@@ -344,15 +350,20 @@ def doc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found_in(table: str, key: str, text: str, pattern: str, group: int = 0) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: read(spark, sf_dir, table).select(key, extract.found(F.col(text), pattern, group).alias("found")).where("found <> ''")
+    return lambda spark, sf_dir: read(spark, sf_dir, table).select(key, extract.found(F.col(text), pattern, group).alias("found"))
 
 
 QUERIES["extract_email"] = _found_in("documents", "doc_id", "text", extract.EMAIL)
 QUERIES["extract_phone"] = _found_in("documents", "doc_id", "text", extract.PHONE)
-QUERIES["extract_uid_like"] = _found_in("documents", "doc_id", "text", extract.UID, 1)
 QUERIES["extract_phone_pages"] = _found_in("pages", "page_id", "html", extract.PHONE)
 
 
+@query
+def extract_uid_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in groups of four, of card texts."""
+    return fixtures.card_texts(spark, sf_dir).select("k", extract.found(F.col("text"), extract.UID, 1).alias("found"))
+
+
 @query
 def extract_cv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_cv(fixtures.cv_texts(spark, sf_dir)).select("id", *extract.CV_FIELDS, F.array_join("warnings", ";").alias("warnings"))
@@ -457,10 +468,10 @@ def card_text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of 400 stored vectors for each other one. A cache of 400 is the operator's size; every vector takes part."""
+    """The best admitted vector for every vector, other than itself."""
     own = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    stored = own.where("vec_id < 400").select(F.col("vec_id").alias("key"), F.col("vec_id").alias("ord"), "vector", ((F.col("vec_id") % 20 + 81) / 100).alias("confidence"))
-    return similarity.best_match(own.where("vec_id >= 400").select(F.col("vec_id").alias("query_id"), "vector"), similarity.admitted(stored), threshold=0.4)
+    stored = own.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("ord"), "vector", ((F.col("vec_id") % 20 + 81) / 100).alias("confidence"))
+    return similarity.best_match(own.select(F.col("vec_id").alias("query_id"), "vector"), similarity.admitted(stored), threshold=0.4, itself=False)
 
 
 @query
@@ -497,7 +508,7 @@ def feedback_apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def suggested_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixtures.fields_long(spark, sf_dir).where("k % 4 in (0, 1)").select("raw", F.col("gt").alias("human"))
+    own = fixtures.fields_long(spark, sf_dir).select("raw", F.col("gt").alias("human"))
     return feedback.mined_rules(own)
 
 
@@ -566,3 +577,259 @@ def synthetic_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixtures.customers(spark, sf_dir)
     k = F.col("k")
     return own.select("k", fixtures.uid(k).alias("uid"), fixtures.pan(k).alias("pan"), fixtures.birth_date(k).alias("dob"), (validate.uid_error(fixtures.uid(k)) == "").alias("uid_valid"), (validate.pan_error(fixtures.pan(k)) == "").alias("pan_valid"))
+
+
+def _solid(h: int, w: int, *bgr: int) -> np.ndarray:
+    return np.tile(np.array(bgr, np.uint8), (h, w, 1))
+
+
+@query
+def image_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNGs by formula through the guard, with the walk over their chunks."""
+    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), fixtures.png(F.col("p_partkey")).alias("content"))
+    return sources.checked(own, is_whole_image=pixels.is_whole_image(F.col("content"))).select("k", "mime", "reject_reason")
+
+
+@query
+def letterbox_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solid images of many sizes on the canonical card: the pixels of the image and of the frame around it."""
+
+    def paint(k: int) -> np.ndarray:
+        return _solid(20 + 53 * k % 200, 20 + 37 * k % 300, 10, 20, 30)
+
+    def count(row, x: np.ndarray) -> tuple:
+        out = pixels.letterboxed(x)
+        return row.image_id, int((out == (10, 20, 30)).all(2).sum()), int((out == 255).all(2).sum())
+
+    return pixels.each(fixtures.painted(read(spark, sf_dir, "supplier"), "s_suppkey", paint), "image_id bigint, inside bigint, frame bigint", count)
+
+
+@query
+def warped_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A light rectangle at a known place, cut out by its corners."""
+    at = lambda k: (10 + k % 20, 15 + 3 * k % 30, 40 + 7 * k % 60, 30 + 5 * k % 40)  # noqa: E731  left, top, width, height
+
+    def paint(k: int) -> np.ndarray:
+        x, y, w, h = at(k)
+        out = _solid(120, 140, 5, 5, 5)
+        out[y : y + h + 1, x : x + w + 1] = (100, 150, 200)
+        return out
+
+    def cut(row, image: np.ndarray) -> tuple:
+        x, y, w, h = at(int(row.image_id))
+        out = pixels.warped(image, np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], np.float64))
+        return row.image_id, out.shape[1], out.shape[0], bool((out == (100, 150, 200)).all())
+
+    return pixels.each(fixtures.painted(read(spark, sf_dir, "supplier"), "s_suppkey", paint), "image_id bigint, width int, height int, whole boolean", cut)
+
+
+@query
+def found_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card on a table for each nation: whether its boundary is found, within 2 % of the picture's width. Every fifth picture has none."""
+
+    def paint(k: int) -> np.ndarray:
+        out = _solid(300, 480, 40, 45, 50)
+        if k % 5:
+            out[60 : 220 + k, 70 : 380 + k] = (220, 225, 230)
+        return out
+
+    def find(row, x: np.ndarray) -> tuple:
+        k, corners = int(row.image_id), pixels.boundary(x)
+        if corners is None:
+            return k, False, False
+        true = np.array([[70, 60], [379 + k, 60], [379 + k, 219 + k], [70, 219 + k]])
+        return k, True, bool(np.abs(corners - true).max() <= 0.02 * x.shape[1])
+
+    return pixels.each(fixtures.painted(read(spark, sf_dir, "nation"), "n_nationkey", paint), "image_id bigint, found boolean, near boolean", find)
+
+
+@query
+def clean_up_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat pictures of the canonical size, every other one with a bright patch: the steps that were taken, and whether the patch is gone."""
+
+    def paint(k: int) -> np.ndarray:
+        out = _solid(638, 1012, *[20 + 8 * k % 200] * 3)
+        if k % 2:
+            out[100:400, 200:600] = 255
+        return out
+
+    own = fixtures.painted(read(spark, sf_dir, "nation"), "n_nationkey", paint)
+    out = pixels.cleaned(own, {"enable_perspective_warp": False})
+    bright = lambda row, x: (row.image_id, ",".join(row.steps), bool(pixels.glare_mask(x).any()))
+    return pixels.each(out, "image_id bigint, steps string, bright boolean", bright)
+
+
+@query
+def sharpened_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One brighter pixel in a flat picture, sharpened as for a second reading."""
+
+    def paint(k: int) -> np.ndarray:
+        out = _solid(7, 9, *[50 + 7 * k % 150] * 3)
+        out[3, 4] += 20
+        return out
+
+    def look(row, x: np.ndarray) -> tuple:
+        out = imaging.sharpened(x)
+        return row.image_id, int(out[3, 4, 0]), int(out[2, 4, 1]), int(out[0, 0, 2])
+
+    return pixels.each(fixtures.painted(read(spark, sf_dir, "supplier"), "s_suppkey", paint), "image_id bigint, spot int, beside int, flat int", look)
+
+
+@query
+def template_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the colours that tell templates apart, of pictures with a band of one."""
+    bands = ((255, 200, 150), (225, 245, 255), (255, 255, 255), (0, 0, 0))
+
+    def paint(k: int) -> np.ndarray:
+        out = _solid(40, 50, 0, 0, 0)
+        out[: 1 + k % 40] = bands[k % 4]
+        return out
+
+    out = imaging.statistics(fixtures.painted(read(spark, sf_dir, "supplier"), "s_suppkey", paint))
+    return out.select("image_id", *(F.round(c, 6).alias(c) for c in ("blue", "cream", "white", "mean_luminance")))
+
+
+@query
+def glyph_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ramps across, down and along the diagonal, and flat pictures: how many entries a descriptor has, and in which direction."""
+
+    def paint(k: int) -> np.ndarray:
+        y, x = np.indices((32, 32))
+        return np.repeat((40 + (x, y, x + y, 0 * x)[k % 4] * (1 + k % 3)).astype(np.uint8)[..., None], 3, 2)
+
+    def look(row, x: np.ndarray) -> tuple:
+        v = pixels.oriented_gradients(x).reshape(-1, 8)
+        inner = v.reshape(7, 7, 4, 8)[3, 3].sum(0)  # a block away from the edges
+        return row.image_id, v.size, int((v > 0).any(1).sum()), int(inner.argmax()) if inner.any() else None, round(float((inner**2).sum()), 6)
+
+    return pixels.each(fixtures.painted(read(spark, sf_dir, "supplier"), "s_suppkey", paint), "image_id bigint, size int, lit int, way int, strength double", look)
+
+
+@query
+def augmented_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of each nation's picture and their log. Its seeds are numpy's, so SQL knows the plan and the sizes only."""
+    own = fixtures.painted(read(spark, sf_dir, "nation"), "n_nationkey", lambda k: _solid(90, 130, 60 + k, 90 + k, 120 + k))
+    plan = imaging.augment_plan(own, "image_id", 3)
+    log = pixels.augmentation_log(plan, 0.5).select("file", F.array_join("augmentations_applied", ",").alias("logged"))
+    made = pixels.varied(own, plan).withColumn("file", F.concat(F.lit("image_"), F.col("image_id").cast("string"), F.lit("_v"), F.col("variant").cast("string"), F.lit(".jpg")))
+    return made.join(log, "file").select("image_id", "variant", F.array_join("applied", ",").alias("applied"), "logged", F.octet_length("content").alias("size"))
+
+
+# -- files and streams ----------------------------------------------------------------------------
+
+
+@query
+def documents_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder as documents, with a limit of 60 bytes: kinds, reasons and leading bytes."""
+    folder = files.scratch(spark, "documents")
+    heads = ("%PDF-1.7 ", "plain text ", "%PDF-")
+    for r in read(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():  # a file for each region: five
+        files.write_file(spark, f"{folder}/{r.r_regionkey}.bin", heads[r.r_regionkey % 3] + r.r_name + "x" * (15 * r.r_regionkey) + "%%EOF")
+    out = sources.checked(sources.read_documents(spark, folder, 60), 60)
+    return out.select(F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("int").alias("k"), F.col("length").alias("size"), "mime", "reject_reason", sources.described_magic(F.col("content")).alias("magic"))
+
+
+@query
+def records_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record lines with blank and broken ones between them: the last record of each id, and how many lines are broken."""
+    k = F.col("c_custkey")
+    body = F.concat(F.lit('{"id": "r'), (k % 40).cast("string"), F.lit('", "fields": {"n": "'), k.cast("string"), F.lit('"}}'))
+    line = F.when(k % 7 == 0, F.lit("  ")).when(k % 11 == 0, F.lit("{broken")).when(k % 13 == 0, F.lit("[1]")).otherwise(body)
+    path = files.scratch(spark, "records")
+    read(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1).select(line.alias("value")).write.text(path)
+    good, bad = records.read_records(spark, path)
+    last = records.last_by_id(good).select("id", F.col("fields")["n"].alias("n"))
+    return last.unionByName(bad.agg(F.lit("broken").alias("id"), F.count("line").cast("string").alias("n")))
+
+
+@query
+def coordinates_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of both templates by way of a coordinate file."""
+    lines = [line for version, fields in BOXES.items() for line in (f"{version}:", *(f"  {f}: [{', '.join(map(str, b))}]  # px" for f, b in fields.items()), "  _anchors:")]
+    path = files.write_file(spark, files.scratch(spark, "coordinates") + ".yaml", "\n".join(lines) + "\n")
+    return records.read_coordinates(spark, path)
+
+
+@query
+def settings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds and step settings by way of a settings file, merged with the defaults."""
+    text = "confidence_high: 0.92   # accept\nconfidence_low:  0.70\nocr_lang: \"en\" # a name\npreprocess:\n  enable_deskew: false\n  clahe_tile_grid: [4, 4]\n  other: 1\n"
+    found = files.read_settings(spark, files.write_file(spark, files.scratch(spark, "settings") + ".yaml", text))
+    rows = {k: v for k, v in found.items() if not isinstance(v, dict)} | imaging.merged_config(found)
+    return spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "setting string, value string")
+
+
+@query
+def decisions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions that weren't accepted, by way of their log in JSON lines."""
+    path = files.scratch(spark, "decisions")
+    records.write_decisions(_routed(spark, sf_dir), path)
+    log = spark.read.schema("field_name string, status string, flag_reason string, attempts int, extraction_method string").json(path)
+    return log.groupBy("status", "flag_reason", "field_name").agg(F.count("status").alias("n"))
+
+
+@query
+def truth_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truth of made-up cards, by way of record lines."""
+    path = files.scratch(spark, "truth")
+    records.write_truth(fixtures.fields_long(spark, sf_dir), path)
+    found, _ = records.read_records(spark, path)
+    return records.long_form(found.select("id", "fields")).select("id", "field_name", "value")
+
+
+@query
+def issues_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions that arrive as files, streamed into the tables of issues: one for recognised fields, one for text layers."""
+    base = files.scratch(spark, "stream")
+    method = F.when(F.col("user_id") % 4 == 0, "text_layer").otherwise("ocr")
+    status = F.element_at(F.array(F.lit("accept"), F.lit("flag"), F.lit("escalate")), (1 + F.col("event_id") % 3).cast("int"))
+    own = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), status.alias("status"), method.alias("extraction_method"))
+    own.repartition(3, "id").write.json(f"{base}/in")
+    feedback.stream_issues(spark, f"{base}/in", "id bigint, ts timestamp_ntz, status string, extraction_method string", f"{base}/ocr", f"{base}/text", f"{base}/checkpoint").awaitTermination()
+    table = lambda name: spark.read.parquet(f"{base}/{name}").withColumn("table", F.lit(name))
+    return table("ocr").union(table("text")).groupBy("table", "status", "date").agg(F.count("id").alias("n"))
+
+
+@query
+def push_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the annotation tool is sent for each pending issue."""
+    k = F.col("event_id")
+    issues = read(spark, sf_dir, "events").select(
+        k.alias("id"), "ts", (F.col("user_id") % 2 == 0).alias("pushed"), (F.col("user_id") % 3 == 0).alias("corrected"),
+        F.concat(F.lit("crops/"), (k % 5).cast("string"), F.lit("/x.jpg")).alias("image_crop_path"), F.concat(F.lit("v"), k.cast("string")).alias("corrected_value"), F.col("event_type").alias("field_name"),
+    )
+    return feedback.pending_push(issues, NOW).select("id", "payload")
+
+
+# -- compositions ---------------------------------------------------------------------------------
+
+
+@query
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation run over records: only those with a truth and a prediction count."""
+    fields = fixtures.fields_long(spark, sf_dir)
+    as_record = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", c))))
+    true = fields.groupBy("id").agg(F.min("k").alias("line_no"), as_record("gt").alias("fields"))
+    found = fields.where("present").groupBy("id").agg(F.min("k").alias("line_no"), as_record("raw").alias("fields"), as_record("raw").alias("raw_fields"))
+    out = evaluation.evaluate(found, true).summary
+    return out.select("field_name", "n", *(F.round(c, 6).alias(c) for c in ("exact_match_rate", "mean_cer", "mean_wer", "missing_rate")))
+
+
+@query
+def card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and date of the second kind of card, from its whole text."""
+    return spatial.second_card_numbers(fixtures.card_texts(spark, sf_dir).where("doc_type = 'pan'")).select("k", "pan_number", "dob")
+
+
+@query
+def region_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions joined in the order of recognition, read as a CV: the first line is the name."""
+    return extract.extract_cv(spatial.joined_text(fixtures.regions(spark, sf_dir)).withColumnRenamed("doc_id", "id")).select("id", "name", "email", "total_experience_years")
+
+
+@query
+def glyph_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caches that fill themselves, one for each fifth of the vectors. What is stored depends on what was found, so it has no SQL."""
+    k = F.col("vec_id")
+    reads = read(spark, sf_dir, "embeddings").select((k % 5).alias("session"), k.alias("ord"), F.col("embedding").alias("vector"), k.cast("string").alias("text"), ((k % 20 + 81) / 100).alias("confidence"))
+    return similarity.cached_session(reads, least=10, threshold=0.4)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.metrics import arrow, band
+from scriptorium.sources.files import write_file
 
 RECORD = "id string, fields map<string,string>, raw_fields map<string,string>"
 DECISION = ("field_name", "value", "confidence", "status", "flag_reason", "raw_ocr_value", "was_corrected", "attempts", "extraction_method")
@@ -98,3 +100,37 @@ def markdown_report(accuracy: DataFrame, delta: DataFrame, top: DataFrame, rates
         lines += ["", "## Top character confusions", "", "| Pred | GT | Count |", "|-|-|-|"]
         lines += [f"| `{r.pred}` | `{r.gt}` | {r.n} |" for r in found]
     return "\n".join(lines)
+
+
+def report_json(accuracy: DataFrame, delta: DataFrame, top: DataFrame, rates: dict, title: str, shown: int = 30) -> str:
+    """The same summaries as one JSON object, by field name."""
+    by_field = lambda df: {r["field_name"]: {k: v for k, v in r.asDict().items() if k != "field_name"} for r in df.orderBy("field_name").collect()}
+    found = [{"pred": r["pred"], "gt": r["gt"], "count": r["n"]} for r in top.limit(shown).collect()]
+    return json.dumps({"doc_type": title, **rates, "field_accuracy": by_field(accuracy), "correction_delta": by_field(delta), "top_confusions": found}, indent=2, ensure_ascii=False)
+
+
+def console_table(frame: DataFrame, columns: dict[str, str], order: str = "field_name") -> str:
+    """A small table for a terminal: columns (name: heading), as wide as their widest value, numbers to the right."""
+    rows = frame.orderBy(order).select(*columns).collect()
+    shown = lambda v: f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v)
+    cells = [list(columns.values()), *([shown(v) for v in r] for r in rows)]
+    wide = [max(len(c[k]) for c in cells) for k in range(len(columns))]
+    right = [bool(rows) and isinstance(rows[0][k], int | float) for k in range(len(columns))]
+    line = lambda c: "  ".join(x.rjust(w) if r else x.ljust(w) for x, w, r in zip(c, wide, right, strict=True)).rstrip()
+    return "\n".join([line(cells[0]), "  ".join("-" * w for w in wide), *map(line, cells[1:])])
+
+
+def write_reports(spark: SparkSession, folder: str, title: str, now: datetime.datetime, accuracy: DataFrame, delta: DataFrame, top: DataFrame, rates: dict) -> tuple[str, str]:
+    """A JSON and a Markdown report whose names carry the kind of document and the time; their paths."""
+    stem = f"{folder}/eval_{title}_{now:%Y%m%d_%H%M%S}"
+    return (
+        write_file(spark, f"{stem}.json", report_json(accuracy, delta, top, rates, title)),
+        write_file(spark, f"{stem}.md", markdown_report(accuracy, delta, top, rates, title)),
+    )
+
+
+def write_truth(fields: DataFrame, path: str) -> None:
+    """Append (id, field_name, gt) as one JSON record a line and id: what made-up cards hold."""
+    pairs = F.array_sort(F.collect_list(F.struct("ord", "field_name", "gt")))
+    entries = F.map_from_entries(F.transform("f", lambda f: F.struct(f["field_name"], f["gt"])))
+    fields.groupBy("id").agg(pairs.alias("f")).select("id", entries.alias("fields")).write.mode("append").json(path)

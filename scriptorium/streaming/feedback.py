@@ -95,3 +95,24 @@ def stream_issues(spark, source: str, schema: str, ocr_path: str, text_path: str
 def stream_states(transitions: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A stream of transitions (id, ts timestamp, state), each one once within the watermark."""
     return transitions.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id", "state"])
+
+
+def write_crops(images: DataFrame, issues: DataFrame, path: str, pad: int = 5) -> None:
+    """Append the cut-out of each issue's box to a table by date: (id, field_name, h, w, crop) with raw pixels.
+
+    images: (image_id, content, h, w); issues: (id, image_id, field_name, x1, y1, x2, y2, ts). Boxes are padded and clamped; an empty one has no crop.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cut(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                x = np.frombuffer(row.content, np.uint8).reshape(row.h, row.w, 3)
+                own = x[max(0, row.y1 - pad) : max(0, row.y2 + pad), max(0, row.x1 - pad) : max(0, row.x2 + pad)]
+                if own.size and row.x2 > row.x1 and row.y2 > row.y1:
+                    yield pd.DataFrame([(row.id, row.field_name, row.date, own.shape[0], own.shape[1], own.tobytes())], columns=["id", "field_name", "date", "h", "w", "crop"])
+
+    joined = issues.withColumn("date", F.to_date("ts")).join(images.select("image_id", "content", "h", "w"), "image_id")
+    made = joined.select("id", "field_name", "date", "x1", "y1", "x2", "y2", "content", "h", "w").mapInPandas(cut, "id bigint, field_name string, date date, h int, w int, crop binary")
+    made.write.mode("append").partitionBy("date").parquet(path)

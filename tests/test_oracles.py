@@ -24,7 +24,7 @@ def test_query(spark, duck, name):
     columns = sorted(frame.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=str)
     if name not in oracles.ORACLES:
-        assert name == "confusion_pairs_editops" and rows
+        assert rows
         return
     found = duck.sql(oracles.ORACLES[name])
     assert sorted(found.columns) == columns
