@@ -36,7 +36,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        state = checkpointed(_star(_star(state, True), False))
+        # small stars first: where a node has several links, they become one of its own and few between those that it was linked to
+        state = checkpointed(_star(_star(state, False), True))
         now = print_of(state)
         if now == before:
             break
