@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried_schema, checkpointed, column, utf8, with_carried, with_rest
+from .common import carried_schema, checkpointed, column, portions, utf8, with_carried, with_rest
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
@@ -182,7 +182,7 @@ def scanner(shared: list, again: bool):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [Windows(s.value) for s in shared]
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             counts, all_spans, all_items = [], [], []
             before = zip(column(batch, "spans").to_pylist(), column(batch, "items").to_pylist(), strict=True) if again else None
             for text in utf8(column(batch, "text")):

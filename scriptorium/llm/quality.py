@@ -209,8 +209,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.of(shared.value)
         for batch in batches:
-            found = [own.score(t) for t in utf8(column(batch, "text"))]
-            yield with_carried([column(batch, "doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"], batch)
+            for part in portions(batch):
+                found = [own.score(t) for t in utf8(column(part, "text"))]
+                yield with_carried([column(part, "doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"], part)
 
     texts = with_rest(docs, carry)
     scored = texts.mapInArrow(run, carried_schema("doc_id bigint, score double", texts))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, halved, utf8
+from .common import checkpointed, column, halved, portions, utf8
 from .components import components
 
 SEED = 42
@@ -50,7 +50,7 @@ FAN = 8
 #: Distinct fingerprints that one band value may bring into a task before it is split further.
 GROUP_LIMIT = 20_000
 #: Pairs of nodes that a descent expands at a time.
-BLOCK = 1 << 15
+BLOCK = 1 << 12
 #: Band widths: 4 x 16 of 64 bits, then 4 x 12 of the other 48, 4 x 9 of the other 36, 4 x 6 of 27, 4 x 5 of 21; at most 16 bits stay free.
 WIDTHS = (16, 12, 9, 6, 5)
 #: For ``similar``: words of a shingle, the least similarity of a link, and the index that finds candidates.
@@ -87,8 +87,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t, shingle) for t in utf8(column(batch, "text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
+            for part in portions(batch):
+                bits = np.array([fingerprint(t, shingle) for t in utf8(column(part, "text"))], np.uint64)
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, bits bigint")
 
@@ -336,9 +337,10 @@ def set_sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_digest(own), *wide_fingerprint(own)) for own in (shingle_set(t, shingle) for t in utf8(column(batch, "text")))]
-            arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *arrays], names=["doc_id", "digest", "hi", "lo"])
+            for part in portions(batch):
+                rows = [(set_digest(own), *wide_fingerprint(own)) for own in (shingle_set(t, shingle) for t in utf8(column(part, "text")))]
+                arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *arrays], names=["doc_id", "digest", "hi", "lo"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, digest bigint, hi bigint, lo bigint")
 

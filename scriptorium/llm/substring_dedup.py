@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried_schema, checkpointed, column, halved, utf8, with_carried, with_rest
+from .common import carried_schema, checkpointed, column, halved, portions, utf8, with_carried, with_rest
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
@@ -75,7 +75,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, doc_id) for each anchor of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             found, ids, many = [], [], 0
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), utf8(column(batch, "text")), strict=True):
                 own = np.unique(window_anchors(text.split() if text else [], window))
@@ -224,7 +224,7 @@ RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans ar
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             lists, hashes, copies = column(batch, "covered"), column(batch, "text_hash").to_pylist(), column(batch, "copy").to_pylist()
             counts, removed, kept, spans = [], [], [], []
             for k, text in enumerate(utf8(column(batch, "text"))):
