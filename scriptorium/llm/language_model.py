@@ -325,7 +325,12 @@ def _scores(bits: int):
         two, three = ngrams(h, starts, bits)
         inner = np.ones(len(h), bool)
         inner[starts] = False
-        found = [value[np.unique(keys, return_inverse=True)[1]] for keys, value in zip((h, two, three[inner]), values, strict=True)]
+        found = []
+        for keys, value in zip((h, two, three[inner]), values, strict=True):
+            own, places = np.unique(keys, return_inverse=True)
+            if len(own) != len(value):  # a block has to be the same rows whenever it's computed
+                raise RuntimeError(f"a block asked for {len(value)} n-grams and has {len(own)}")
+            found.append(value[places])
         triple = np.zeros(len(h), np.int8)
         triple[inner] = found[2]
         p1, p3 = probabilities(sums, found[0].astype(np.float64), found[1], triple, starts)
