@@ -430,7 +430,7 @@ with c as (select p_partkey as k, ['FFD8FFE0', '89504E470D0A1A0A', '255044462D',
   p_name || repeat('x', (p_partkey % 40)::int) || case p_partkey % 4 when 0 then '%%EOF' when 1 then '%%Eof' || chr(10) else '' end as tail from part),
 b as (select k, head, tail, head || hex(tail) as h from c),
 m as (select k, tail, h, length(h) // 2 as size, case when starts_with(h, 'FFD8FF') then 'image/jpeg' when starts_with(h, '89504E470D0A1A0A') then 'image/png' when starts_with(h, '25504446') then 'application/pdf' when starts_with(h, 'FFD8') then 'image/jpeg' end as kind from b)
-select k, case when size <= 40 then kind end as mime, case when size > 40 then 'file_size' when kind is null then 'unsupported_format' when kind = 'application/pdf' and not (contains(tail, '%%EOF') or contains(tail, '%%Eof')) then 'corrupt_file' end as reject_reason,
+select k, case when size <= 40 then kind end as mime, case when size > 40 then 'file_size' when kind is null then 'unsupported_format' when kind = 'application/pdf' and not (contains(tail, '%%EOF') or contains(tail, '%%Eof')) or starts_with(kind, 'image/') then 'corrupt_file' end as reject_reason,
   size::bigint as size, lower(left(h, 16)) as magic from m"""
 
 # -- regions and vectors --------------------------------------------------------------------------
@@ -522,10 +522,14 @@ ORACLES["warped_cards"] = "select s_suppkey::bigint as image_id, (40 + 7 * s_sup
 ORACLES["found_boundaries"] = "select n_nationkey::bigint as image_id, n_nationkey % 5 <> 0 as found, n_nationkey % 5 <> 0 as near from nation"
 ORACLES["clean_up_pixels"] = """with s as (select n_nationkey::bigint as image_id, 20 + 8 * n_nationkey % 200 as v, case when n_nationkey % 2 = 1 then 300 * 400 / (638.0 * 1012) else 0 end as patch from nation)
 select image_id, concat_ws(',', case when v * (1 - patch) + 255 * patch not between 100 and 200 then 'clahe' end, case when patch > 0 then 'glare_removal' end) as steps, false as bright from s"""
+ORACLES["second_views"] = """with s as (select s_suppkey::bigint as id, 31 * s_suppkey % 100 / 100.0::double as conf, s_suppkey % 3 = 0 as valid, 10 + s_suppkey % 12 as h, 10 + s_suppkey % 17 as w from supplier),
+v as (select *, case when conf < 0.7 then 'sharpened' when conf < 0.92 and not valid and h > 15 and w > 15 then 'inset' end as view from s), c as (select id, view, h - case view when 'inset' then 10 else 0 end as h, w - case view when 'inset' then 10 else 0 end as w from v)
+select id, view, h::int as h, w::int as w, (h * w * 3)::int as size from c where view is not null"""
 ORACLES["sharpened_spots"] = "with s as (select s_suppkey::bigint as image_id, 50 + 7 * s_suppkey % 150 as v from supplier) select image_id, least(255, v + 100)::int as spot, (v - 20)::int as beside, v::int as flat from s"
 ORACLES["template_colours"] = """with s as (select s_suppkey::bigint as image_id, s_suppkey % 4 as kind, (1 + s_suppkey % 40) / 40.0::double as share from supplier)
 select image_id, case when kind = 0 then round(share, 6) else 0.0 end as blue, case when kind = 1 then round(share, 6) else 0.0 end as cream, case when kind in (1, 2) then round(share, 6) else 0.0 end as white,
   round(share * ([0.114 * 255 + 0.587 * 200 + 0.299 * 150, 0.114 * 225 + 0.587 * 245 + 0.299 * 255, 255.0, 0.0]::double[])[kind + 1], 6) as mean_luminance from s"""
+ORACLES["qr_presence"] = "select n_nationkey::bigint as image_id, n_nationkey % 3 = 0 as has_qr from nation"
 ORACLES["glyph_descriptors"] = """select s_suppkey::bigint as image_id, 1568::int as size, (case when s_suppkey % 4 = 3 then 0 else 196 end)::int as lit, case s_suppkey % 4 when 0 then 0 when 1 then 4 when 2 then 2 end::int as way,
   case when s_suppkey % 4 = 3 then 0.0 else 4.0 end::double as strength from supplier"""
 ORACLES["augmented_pictures"] = f"""with v as (select n_nationkey::bigint as image_id, unnest([1, 2, 3])::int as variant from nation), s as (select image_id, variant, (image_id * 7919 + variant * 104729) % 1000003 as seed from v)

@@ -587,7 +587,7 @@ def _solid(h: int, w: int, *bgr: int) -> np.ndarray:
 def image_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNGs by formula through the guard, with the walk over their chunks."""
     own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), fixtures.png(F.col("p_partkey")).alias("content"))
-    return sources.checked(own, is_whole_image=pixels.is_whole_image(F.col("content"))).select("k", "mime", "reject_reason")
+    return sources.checked(own).select("k", "mime", "reject_reason")
 
 
 @query
@@ -659,6 +659,15 @@ def clean_up_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.each(out, "image_id bigint, steps string, bright boolean", bright)
 
 
+@query
+def second_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops by formula: which ones are read again, how, and in what size."""
+    k = F.col("image_id")
+    own = fixtures.painted(read(spark, sf_dir, "supplier"), "s_suppkey", lambda k: _solid(10 + k % 12, 10 + k % 17, 50, 60, 70))
+    crops = own.select(k.alias("id"), F.lit("uid").alias("field_name"), (31 * k % 100 / 100).alias("conf"), (k % 3 == 0).alias("is_valid"), "content", "h", "w")
+    return pixels.second_views(crops).select("id", "view", "h", "w", F.octet_length("content").alias("size"))
+
+
 @query
 def sharpened_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One brighter pixel in a flat picture, sharpened as for a second reading."""
@@ -689,6 +698,31 @@ def template_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", *(F.round(c, 6).alias(c) for c in ("blue", "cream", "white", "mean_luminance")))
 
 
+def _code_like(x: np.ndarray, left: int, top: int, module: int, seed: int) -> None:
+    """Draw three position marks and a field of modules."""
+    dots = np.random.default_rng(seed).integers(0, 2, (25, 25))
+    for y, at in ((0, 0), (0, 18), (18, 0)):
+        dots[max(0, y - 1) : y + 8, max(0, at - 1) : at + 8] = 0
+        dots[y : y + 7, at : at + 7] = 1
+        dots[y + 1 : y + 6, at + 1 : at + 6] = 0
+        dots[y + 2 : y + 5, at + 2 : at + 5] = 1
+    x[top : top + 25 * module, left : left + 25 * module] = (240 - 220 * dots.repeat(module, 0).repeat(module, 1))[..., None]
+
+
+@query
+def qr_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures with a code at the lower right, at the upper left, or with lines of text only."""
+
+    def paint(k: int) -> np.ndarray:
+        out = _solid(240, 400, 240, 240, 240)
+        out[20:60:12, 20:180] = 20
+        if k % 3 < 2:
+            _code_like(out, *((290, 120) if k % 3 == 0 else (20, 70)), 3 + k % 2, k)
+        return out
+
+    return pixels.with_qr(fixtures.painted(read(spark, sf_dir, "nation"), "n_nationkey", paint))
+
+
 @query
 def glyph_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ramps across, down and along the diagonal, and flat pictures: how many entries a descriptor has, and in which direction."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators import pixels
+
 MAX_BYTES = 10 * 1024 * 1024
 # Leading bytes in hex, the first match counts.
 MAGIC = (("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("25504446", "application/pdf"), ("FFD8", "image/jpeg"))
@@ -48,10 +50,14 @@ def is_whole_pdf(content: Column) -> Column:
 def checked(docs: DataFrame, max_bytes: int = MAX_BYTES, is_whole_image: Column | None = None) -> DataFrame:
     """Add mime and reject_reason, null if the document is accepted: size first, then type, then integrity.
 
-    is_whole_image: a decoder's verdict, for images; without one they are taken as they come.
+    is_whole_image: a verdict on images; without one PNG chunks and JPEG markers are walked.
     """
     size = F.coalesce(F.octet_length("content").cast("long"), F.col("length")) if "length" in docs.columns else F.octet_length("content").cast("long")
-    image = F.lit(True) if is_whole_image is None else is_whole_image
     out = docs.withColumn("mime", F.when(size <= max_bytes, mime_type(F.col("content"))))
+    if is_whole_image is None:  # Python sees the bytes of images only
+        out = out.withColumn("_image", F.when(F.col("mime").startswith("image/"), F.col("content")))
+        image = F.coalesce(pixels.is_whole_image(F.col("_image")), F.lit(True))
+    else:
+        image = is_whole_image
     whole = F.when(F.col("mime") == "application/pdf", is_whole_pdf(F.col("content"))).otherwise(image)
-    return out.withColumn("reject_reason", F.when(size.isNull(), "ingest").when(size > max_bytes, "file_size").when(F.col("mime").isNull(), "unsupported_format").when(~whole, "corrupt_file"))
+    return out.withColumn("reject_reason", F.when(size.isNull(), "ingest").when(size > max_bytes, "file_size").when(F.col("mime").isNull(), "unsupported_format").when(~whole, "corrupt_file")).drop("_image")

@@ -106,3 +106,13 @@ def test_evaluation_run(spark):
 def test_out_of_range_summaries_fail(spark):
     with pytest.raises(Exception, match="out of range"):
         checked(spark.createDataFrame([(1.5,)], "share double"), ("share",), ()).collect()
+
+
+def test_edit_script_of_the_library():
+    """Examples from the documentation of python-Levenshtein and rapidfuzz, and a plain table for the rest of the rule."""
+    assert metrics.substitutions("spam", "park") == [("m", "k")]
+    assert metrics.substitutions("qabxcd", "abycdf") == [("x", "y")]
+    assert metrics.substitutions("1O23", "1023") == [("O", "0")] and metrics.substitutions("S678", "5678") == [("S", "5")]
+    assert metrics.substitutions("", "abc") == metrics.substitutions("abc", "") == metrics.substitutions("ab", "xab") == []
+    # never more of them than characters differ, and with nothing else left out as many as the distance
+    assert metrics.substitutions("abcd", "wxyz") == [("a", "w"), ("b", "x"), ("c", "y"), ("d", "z")]

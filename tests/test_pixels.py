@@ -136,6 +136,16 @@ def test_clean_up(spark):
     assert pixels.cleaned(frame.limit(0)).count() == 0
 
 
+def test_second_readings(spark):
+    x = scene(0.0, 60, 30, (40, 80))
+    rows = [(1, 0.5, True, x), (2, 0.8, False, x), (3, 0.8, True, x), (4, 0.95, False, x), (5, 0.8, False, x[:15]), (6, 0.1, False, x[:3])]
+    crops = spark.createDataFrame([(i, "uid", c, v, y.tobytes(), *y.shape[:2]) for i, c, v, y in rows], "id bigint, field_name string, conf double, is_valid boolean, content binary, h int, w int")
+    got = {r.id: r for r in pixels.second_views(crops, read=lambda y: (f"{y.shape[0]}x{y.shape[1]}", 0.75)).collect()}
+    assert {i: (r.view, r.retry_raw, r.retry_conf) for i, r in got.items()} == {1: ("sharpened", "40x80", 0.75), 2: ("inset", "30x70", 0.75), 6: ("sharpened", "3x80", 0.75)}
+    assert bytes(got[2].content) == x[5:-5, 5:-5].tobytes() and bytes(got[1].content) == imaging.sharpened(x).tobytes()
+    assert pixels.second_views(crops).where("retry_raw is null").count() == 3
+
+
 def test_augmentations(spark):
     assert set(pixels.AUGMENT) == set(imaging.AUGMENTATIONS)
     x = scene(2.0, 200, 120, (200, 300))
@@ -194,6 +204,25 @@ def test_descriptor(spark):
     assert len(pixels.described(frame).first().vector) == 1568
 
 
+def test_position_marks():
+    from scriptorium.queries import _code_like
+
+    for module in (2, 3, 5):
+        x = solid(300, 600, 240, 240, 240)
+        _code_like(x, 420, 130, module, module)
+        size = 25 * module
+        found = pixels.position_marks(x)
+        middles = [(420 + 3.5 * module, 130 + 3.5 * module), (420 + size - 3.5 * module, 130 + 3.5 * module), (420 + 3.5 * module, 130 + size - 3.5 * module)]
+        assert all(any(np.hypot(m[0] - a, m[1] - b) < module and abs(m[2] - module) < 0.5 for m in found) for a, b in middles)
+        assert pixels.has_qr(x) and not pixels.has_qr(x[:, ::-1].copy())  # on the left half it isn't looked for
+        turned = solid(400, 700, 240, 240, 240)
+        turned[50:350, 50:650] = pixels.rotated(x, 0)
+        assert pixels.has_qr(pixels.rotated(turned, 4.0)) or module < 3
+    rng = np.random.default_rng(0)
+    assert not any(pixels.has_qr(rng.integers(0, 2, (200, 300, 1)).repeat(3, 2).astype(np.uint8) * 255) for _ in range(3))
+    assert not pixels.has_qr(scene()) and not pixels.has_qr(solid(50, 60, 9, 9, 9))
+
+
 def png(*chunks):
     return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in chunks)
 
