@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Ids that are broadcast at the most (some 50 MB on an executor); more of them meet their rows by a shuffle.
+MOST_IDS = 1_000_000
 #: Words of whole texts: runs of anything but ASCII white space. ``bytes.split()`` takes the same runs.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,6 +88,15 @@ def halved(key: str) -> Column:
     return F.pmod(F.hash(key), F.lit(2)).alias("_half")
 
 
+def matched(frame: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", most: int = MOST_IDS) -> DataFrame:
+    """Rows of a frame whose key is (left_semi) or isn't (left_anti) among ids, a checkpointed column of distinct ones.
+
+    They are counted, and broadcast only if there are at most so many; else both sides are shuffled by the key. The rows are the same.
+    """
+    own = ids.select(F.col(ids.columns[0]).alias("_matched"))
+    return frame.join(F.broadcast(own) if own.count() <= most else own, frame[key] == own["_matched"], how)
+
+
 def with_rest(docs: DataFrame, carry: bool) -> DataFrame:
     """(doc_id, text), and with carry the other columns as a struct ``rest``, whose names can't clash with an operator's own."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

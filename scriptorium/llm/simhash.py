@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, halved, portions, utf8
+from .common import checkpointed, column, halved, matched, portions, utf8
 from .components import components
 
 SEED = 42
@@ -441,8 +441,8 @@ def confirmed(docs: DataFrame, grouped: DataFrame, shingle: int, similarity: flo
 
     def compared(routes: DataFrame) -> DataFrame:
         routes = checkpointed(routes.select("route", "digest", "first_id"))
-        wanted = routes.select(F.col("first_id").alias("doc_id")).distinct()
-        found = texts.join(wanted, "doc_id", "left_semi").join(routes, F.col("doc_id") == F.col("first_id"))
+        wanted = checkpointed(routes.select("first_id").distinct())
+        found = matched(texts, wanted, "left_semi").join(routes, F.col("doc_id") == F.col("first_id"))
         found = found.select("route", "digest", "first_id", "text").repartition("route").sortWithinPartitions("route")
         return checkpointed(found.mapInArrow(task, "a bigint, b bigint"))
 

@@ -56,3 +56,13 @@ def test_shared_folder_is_asked_for_off_a_local_master(monkeypatch):
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError):
             common.checkpoint_folder(Session(master))
+
+
+def test_matched_either_way(spark):
+    rows = [(1, "a"), (2, "b"), (2, "c"), (None, "d"), (5, "e")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = spark.createDataFrame([(2,), (5,), (9,)], "doc_id bigint")
+    for most in (0, 100):
+        assert sorted(r.text for r in common.matched(frame, ids, "left_semi", most=most).collect()) == ["b", "c", "e"]
+        assert sorted(r.text for r in common.matched(frame, ids, "left_anti", most=most).collect()) == ["a", "d"]
+        assert common.matched(frame, ids, "left_anti", most=most).columns == frame.columns
