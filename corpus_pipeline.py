@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, decontaminate, quality, simhash, substring_dedup
-from scriptorium.llm.common import removed, restored, shared_folder, table
+from scriptorium.llm.common import checkpointed, matched, removed, restored, shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that share a doc_id the least one stays, by the text and then the other columns in order.
     """
     found = simhash.similar(docs)
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
-    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("_row"))
+    copies = checkpointed(found.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = matched(docs, copies, "left_anti")
+    repeated = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("doc_id").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():  # the usual case: no text has to move
+        return kept
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    named = matched(kept, repeated, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row"))
     first = named.select(*(F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns))
-    return first.unionByName(kept.where("doc_id is null"))
+    return matched(kept, repeated, "left_anti").unionByName(first)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
