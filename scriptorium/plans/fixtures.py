@@ -146,7 +146,9 @@ def painted(table: DataFrame, key: str, paint) -> DataFrame:
                 x = paint(int(k))
                 yield pd.DataFrame([(k, x.tobytes(), x.shape[0], x.shape[1])], columns=["image_id", "content", "h", "w"])
 
-    return table.select(F.col(key).cast("long").alias("image_id")).mapInPandas(run, "image_id bigint, content binary, h int, w int")
+    # a small table is one file: its keys are dealt out, as a picture costs far more than its key
+    keys = table.select(F.col(key).cast("long").alias("image_id")).repartition(table.sparkSession.sparkContext.defaultParallelism, "image_id")
+    return keys.mapInPandas(run, "image_id bigint, content binary, h int, w int")
 
 
 def png(k: Column) -> Column:
