@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, column, halved, matched, portions, utf8
-from .components import components
+from .components import Labels, components
 
 SEED = 42
 DISTANCE = 3
@@ -102,26 +102,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-class Labels:
-    """Union-find over whole arrays."""
-
-    def __init__(self, n: int) -> None:
-        self.of = np.arange(n)
-
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        of = self.of
-        while len(a):
-            a, b = of[a], of[b]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(of, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = of[of]
-                if np.array_equal(up, of):
-                    break
-                of[:] = up
-
-
 def _differing(a: np.ndarray, b: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
     """Differing bits of codes of several words, in the places that count."""
     x = a ^ b
